@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +22,49 @@ from .common import spread, table
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
 FACTORS = 4
+PREFIXES = (4, 5)
+#: Terms of fewer training texts get no weight.
+MIN_TEXTS = 4
 SEGMENT_WORDS = 400
 #: Documented bound of the training sample: the labelled rows with the smallest hashes, half of either label.
 SAMPLE_ROWS = 8000
-EPOCHS = 12
-BATCH = 64
+EPOCHS = 8
 RATE = 0.08
 L2_LINEAR, L2_FACTOR = 2e-5, 2e-4
 MAX_NORM_TERMS = 64.0
 
 
-@lru_cache(maxsize=1 << 18)
-def term(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) & ((1 << BITS) - 1)
+class _Terms(dict):
+    """Hashed terms of a word: itself and its beginnings, which stay when endings change; emptied when full."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        forms = [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
+        out = self[word] = tuple(xxhash.xxh64_intdigest(f) & ((1 << BITS) - 1) for f in forms)
+        return out
+
+
+_terms = _Terms()
 
 
 def segments(text: str | None) -> list[np.ndarray]:
     """Distinct hashed terms of each stretch of SEGMENT_WORDS words; one empty segment for a text without words. The last
     stretch reaches back so that it is as long as the others."""
     words = WORD.findall((text or "").lower())
-    ids = np.fromiter(map(term, words), np.int64, len(words))
-    if len(ids) <= SEGMENT_WORDS:
-        return [np.unique(ids)]
-    starts = [*range(0, len(ids) - SEGMENT_WORDS, SEGMENT_WORDS), len(ids) - SEGMENT_WORDS]
-    return [np.unique(ids[s : s + SEGMENT_WORDS]) for s in starts]
+    starts = [*range(0, max(1, len(words) - SEGMENT_WORDS), SEGMENT_WORDS)]
+    if len(words) > SEGMENT_WORDS:
+        starts.append(len(words) - SEGMENT_WORDS)
+    out = []
+    for s in starts:
+        ids = {i for w in set(words[s : s + SEGMENT_WORDS]) for i in _terms[w]}
+        out.append(np.fromiter(ids, np.int64, len(ids)))
+    return out
 
 
 @dataclass
 class Model:
-    """Size fixed by BITS and FACTORS: 2**18 * 5 floats, 5 MB."""
+    """Size fixed by BITS and FACTORS: 2**18 * 5 floats, 5 MB, whatever the corpus."""
 
     bias: float
     linear: np.ndarray
@@ -73,7 +86,12 @@ def fit(rows: list[tuple[list[np.ndarray], int]], epochs: int = EPOCHS, seed: in
     """rows: segments and label. Adagrad on logistic loss; a toxic text is taught by its worst segment so far, a clean one
     by one of its segments each epoch and its worst one: every segment of a clean text is clean."""
     rng = np.random.default_rng(seed)
-    linear, factors, bias = np.zeros(1 << BITS, np.float32), rng.normal(0, 0.01, (1 << BITS, FACTORS)).astype(np.float32), -1.0
+    texts_with = np.zeros(1 << BITS, np.int32)
+    for parts, _ in rows:
+        texts_with[np.unique(np.concatenate(parts))] += 1
+    known = texts_with >= MIN_TEXTS
+    rows = [([p[known[p]] for p in parts], y) for parts, y in rows]
+    linear, factors, bias = np.zeros(1 << BITS, np.float32), (rng.normal(0, 0.05, (1 << BITS, FACTORS)) * known[:, None]).astype(np.float32), -1.0
     g_linear, g_factors, g_bias = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 1e-2
     model = Model(bias, linear, factors)
     positives = max(1, sum(y for _, y in rows))
@@ -117,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[s.tolist() for s in segments(t)] for t in b.column(1).to_pylist()]
+            found = [[sorted(s.tolist()) for s in segments(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "parts"])
 
     rows = texts.mapInArrow(run, "doc_id bigint, toxic int, parts array<array<int>>").toArrow().to_pylist()  # at most sample_rows
