@@ -33,8 +33,10 @@ SIGMAS = 4.5
 #: Members at least so similar to a centre need no other centre; see canopies().
 INNER = 0.6
 BLOCK = 256
+#: Shingles that are hashed M ways at a time.
+CHUNK = 512
 MAX_ROUNDS = 200
-_ODD = np.random.default_rng(20240501).integers(1, 2**63, size=(2, M), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20240501).integers(1, 2**63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
@@ -66,15 +68,16 @@ def shingles(text: str | None, k: int, seen: _Words) -> np.ndarray:
     return np.unique(_mixed(out + np.uint64(n)))
 
 
-def registers(s: np.ndarray) -> np.ndarray:
+def registers(s: np.ndarray, held: np.ndarray) -> np.ndarray:
     """M registers: floor(1 - log_B(least exponential variate)), held to 0 ... TOP + 1. The greater one of two sketches'
-    registers is the sketch of the union."""
-    least = np.full(M, 2**32 - 1, np.uint64)
-    for at in range(0, len(s), 4096):
-        part = s[at : at + 4096]
-        for i in range(M):  # row-wise: stays in cache
-            least[i] = min(least[i], ((part * _ODD[0, i] + _ODD[1, i]) >> np.uint64(32)).min())
-    x = -np.log1p(-(least + 0.5) / 2.0**32) / A
+    registers is the sketch of the union. held: a buffer of M x CHUNK."""
+    least = np.full(M, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), CHUNK):
+        part = s[at : at + CHUNK]
+        product = held[:, : len(part)]
+        np.multiply(part, _ODD[:, None], out=product)
+        np.minimum(least, product.min(axis=1), out=least)
+    x = -np.log1p(-((least >> np.uint64(11)) + 0.5) / 2.0**53) / A
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, TOP + 1).astype(np.uint16)
 
 
@@ -103,7 +106,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Words()
+        seen, held = _Words(), np.empty((M, CHUNK), np.uint64)
         for b in batches:
             n, digest, sketch, bands = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -114,7 +117,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     sketch.append(b"")
                     bands.append([])
                     continue
-                r = registers(s)
+                r = registers(s, held)
                 sketch.append(r.tobytes())
                 bands.append([xxhash.xxh3_64_intdigest(r[i * ROWS : i * ROWS + ROWS].tobytes(), i) - 2**63 for i in range(BANDS)])
             yield pa.RecordBatch.from_arrays(
