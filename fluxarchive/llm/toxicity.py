@@ -25,6 +25,9 @@ FACTORS = 4
 PREFIXES = (4, 5)
 #: Terms of fewer training texts get no weight.
 MIN_TEXTS = 4
+CHI_SQUARE = 16.0
+#: A toxic text counts for so many clean ones at most.
+POSITIVE_WEIGHT = 3.0
 SEGMENT_WORDS = 400
 #: Documented bound of the training sample: the labelled rows with the smallest hashes, half of either label.
 SAMPLE_ROWS = 8000
@@ -35,20 +38,26 @@ MAX_NORM_TERMS = 64.0
 
 
 class _Terms(dict):
-    """Hashed terms of a word: itself and its beginnings, which stay when endings change; emptied when full."""
+    """Hashed terms of a word: itself and its beginnings, which stay when endings change; emptied when full. With known, only
+    terms that a model knows."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        super().__init__()
+        self.known = known
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 500_000:
             self.clear()
         forms = [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
-        out = self[word] = tuple(xxhash.xxh64_intdigest(f) & ((1 << BITS) - 1) for f in forms)
+        ids = (xxhash.xxh64_intdigest(f) & ((1 << BITS) - 1) for f in forms)
+        out = self[word] = tuple(i for i in ids if self.known is None or self.known[i])
         return out
 
 
 _terms = _Terms()
 
 
-def segments(text: str | None) -> list[np.ndarray]:
+def segments(text: str | None, terms: _Terms = _terms) -> list[np.ndarray]:
     """Distinct hashed terms of each stretch of SEGMENT_WORDS words; one empty segment for a text without words. The last
     stretch reaches back so that it is as long as the others."""
     words = WORD.findall((text or "").lower())
@@ -57,7 +66,7 @@ def segments(text: str | None) -> list[np.ndarray]:
         starts.append(len(words) - SEGMENT_WORDS)
     out = []
     for s in starts:
-        ids = {i for w in set(words[s : s + SEGMENT_WORDS]) for i in _terms[w]}
+        ids = {i for w in set(words[s : s + SEGMENT_WORDS]) for i in terms[w]}
         out.append(np.fromiter(ids, np.int64, len(ids)))
     return out
 
@@ -70,6 +79,9 @@ class Model:
     linear: np.ndarray
     factors: np.ndarray
 
+    def __post_init__(self):
+        self.terms = _Terms(self.factors.any(axis=1))
+
     def logit(self, ids: np.ndarray) -> float:
         if not len(ids):
             return self.bias
@@ -78,18 +90,27 @@ class Model:
         return float(self.bias + self.linear[ids].sum() + 0.5 * ((s * s).sum() - (v * v).sum()) / MAX_NORM_TERMS)
 
     def score(self, text: str | None) -> float:
-        z = max(self.logit(s) for s in segments(text))
+        z = max(self.logit(s) for s in segments(text, self.terms))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def associated(toxic_with: np.ndarray, clean_with: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """Terms whose presence goes with the label beyond chance: chi-square of at least CHI_SQUARE, in MIN_TEXTS texts or more.
+    Most words stand in a few texts only; as features they would fit the sample and nothing else."""
+    a, b = toxic_with, clean_with
+    c, d = n_toxic - a, n - n_toxic - b
+    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * max(1, n_toxic) * max(1, n - n_toxic), 1)
+    return (a + b >= MIN_TEXTS) & (chi >= CHI_SQUARE)
+
+
 def fit(rows: list[tuple[list[np.ndarray], int]], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """rows: segments and label. Adagrad on logistic loss; a toxic text is taught by its worst segment so far, a clean one
     by one of its segments each epoch and its worst one: every segment of a clean text is clean."""
     rng = np.random.default_rng(seed)
-    texts_with = np.zeros(1 << BITS, np.int32)
-    for parts, _ in rows:
-        texts_with[np.unique(np.concatenate(parts))] += 1
-    known = texts_with >= MIN_TEXTS
+    toxic_with, clean_with = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for parts, y in rows:
+        (toxic_with if y else clean_with)[np.unique(np.concatenate(parts))] += 1
+    known = associated(toxic_with, clean_with, sum(y for _, y in rows), len(rows))
     rows = [([p[known[p]] for p in parts], y) for parts, y in rows]
     linear, factors, bias = np.zeros(1 << BITS, np.float32), (rng.normal(0, 0.05, (1 << BITS, FACTORS)) * known[:, None]).astype(np.float32), -1.0
     g_linear, g_factors, g_bias = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 1e-2
@@ -104,7 +125,7 @@ def fit(rows: list[tuple[list[np.ndarray], int]], epochs: int = EPOCHS, seed: in
             chosen = {worst} if y else {worst, int(rng.integers(len(parts)))}
             for j in chosen:
                 ids, z = parts[j], float(np.clip(logits[j], -40, 40))
-                slope = (1 / (1 + np.exp(-z)) - y) * (min(weight[0], 8.0) if y else 1.0)
+                slope = (1 / (1 + np.exp(-z)) - y) * (min(weight[0], POSITIVE_WEIGHT) if y else 1.0)
                 g_bias += slope * slope
                 model.bias -= RATE * slope / np.sqrt(g_bias) * 0.1
                 if not len(ids):
@@ -138,9 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             found = [[sorted(s.tolist()) for s in segments(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "parts"])
 
-    rows = texts.mapInArrow(run, "doc_id bigint, toxic int, parts array<array<int>>").toArrow().to_pylist()  # at most sample_rows
-    rows.sort(key=lambda r: (r["doc_id"], r["parts"]))
-    return fit([([np.array(p, np.int64) for p in r["parts"]], r["toxic"]) for r in rows])
+    found = texts.mapInArrow(run, "doc_id bigint, toxic int, parts array<array<int>>").toArrow()  # at most sample_rows
+    rows = []
+    for b in found.to_batches():
+        for i in range(len(b)):  # row by row: as Python integers, all parts at once would not fit the driver
+            rows.append((b["doc_id"][i].as_py(), [np.array(p, np.int64) for p in b["parts"][i].as_py()], b["toxic"][i].as_py()))
+    rows.sort(key=lambda r: (r[0], b"".join(p.tobytes() for p in r[1])))
+    return fit([(parts, y) for _, parts, y in rows])
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
