@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,6 +38,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all task slots if the scan has fewer partitions, so that a Python stage uses every core."""
+    """Deal a scan's rows over all task slots if it has fewer partitions, so that a Python stage uses every core. What comes
+    from a shuffle is left as it is: asking for its partitions would run it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search("Join|Aggregate|Window|Exchange|Repartition", plan):
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
