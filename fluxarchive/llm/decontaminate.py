@@ -1,20 +1,21 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is counted for the benchmark's terms; each window of an item is then represented by its rarest terms. Postings
-(term, document, position) of those terms are stored, and lists of one item are intersected after moving each by its
-term's offset in the item: what meets is a diagonal on which document and item may agree. The phrase is then compared word
-by word on the diagonals of each document that has some.
+The index is sharded by document: each row stores the postings (term, position) of one document, for the terms of the
+benchmark. Corpus counts from the index rank the terms; each window of an item is represented by its rarest ones. Position
+lists of an item's rare terms are intersected after moving each by its term's offset in the item: what meets is a diagonal
+on which document and item may agree, and the phrase is compared word by word on it. Since a document's lists stand in one
+row, matching shuffles nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +25,65 @@ WINDOW = 10
 #: Each possible window holds at least so many anchors; lists are intersected until so many agree.
 ANCHORS = 2
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = re.compile(WORD_CLASS)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes 0-9, a-z and those of other characters stand, A-Z become a-z, all else divides words.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Terms that a task holds to tell the benchmark's words; a larger vocabulary is not sent, and all words are indexed.
+MAX_VOCABULARY = 2_000_000
+#: Words of items that a task holds at a time; a larger benchmark is matched in blocks.
+ITEM_BLOCK = 2_000_000
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD_CLASS), F.lit(0))
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_key (long), item_id, words: items with words and an id; repeated rows once."""
-    w = benchmark.select(F.col("item_id"), words(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0").distinct()
-    return w.withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "words"))
+def term_id(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, doc_id, text_hash, pos of every occurrence of the terms (distinct, column term)."""
-    tokens = docs.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return tokens.join(terms.select("term"), "term")
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_key (long), item_id, terms: items with words and an id; repeated rows once."""
+    w = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+
+    @F.arrow_udf("array<bigint>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array([[term_id(x) for x in tokens(t)] for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    w = w.select("item_id", ids("text").alias("terms")).where("size(terms) > 0").distinct()
+    return w.withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "terms"))
+
+
+def build_index(docs: DataFrame, vocabulary: set[int] | None) -> DataFrame:
+    """doc_id, text_hash, n_words, terms, pos: the postings of each document, in the order of positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for b in batches:
+            n, lengths, terms, pos = [], [0], [], []
+            for t in b.column(2).to_pylist():
+                found = tokens(t)
+                for w in set(found):
+                    if w not in seen:
+                        i = term_id(w)
+                        seen[w] = i if vocabulary is None or i in vocabulary else 0
+                ids = np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
+                at = np.flatnonzero(ids)
+                n.append(len(found))
+                terms.append(ids[at])
+                pos.append(at.astype(np.int32))
+                lengths.append(lengths[-1] + len(at))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+            offsets = pa.array(lengths, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, k), t)) for x, k, t in ((terms, np.int64, pa.int64()), (pos, np.int32, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], ["doc_id", "text_hash", "n_words", "terms", "pos"])
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return spread(slim).mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, terms array<bigint>, pos array<int>")
 
 
 def choose_anchors(counts: list[int], window: int, each: int = ANCHORS) -> list[int]:
@@ -60,32 +102,24 @@ def choose_anchors(counts: list[int], window: int, each: int = ANCHORS) -> list[
     return sorted(chosen)
 
 
-def anchors_of(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """item_key, term, pos, need: the anchors of each item, and how many must agree on a diagonal."""
-    terms = items.select("item_key", F.posexplode("words").alias("pos", "term")).join(counts, "term", "left")
+def with_anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """items, and anchors: the positions that represent each item."""
+    terms = items.select("item_key", F.posexplode("terms").alias("pos", "term")).join(counts, "term", "left")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         at = choose_anchors(pdf["n"].fillna(0).astype("int64").tolist(), window)
-        return pdf.iloc[at][["item_key", "term", "pos"]].assign(need=min(ANCHORS, window, len(pdf)))
-
-    return terms.groupBy("item_key").applyInPandas(choose, "item_key bigint, term string, pos int, need int")
-
+        return pd.DataFrame({"item_key": [pdf["item_key"].iloc[0]], "anchors": [at]})
 
-def diagonals(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_key, diagonal: where `need` offset-adjusted lists of an item meet."""
-    met = index.withColumnRenamed("pos", "doc_pos").join(anchors, "term")
-    met = met.groupBy("doc_id", "text_hash", "item_key", (F.col("doc_pos") - F.col("pos")).alias("diagonal"))
-    return met.agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").drop("n", "need")
+    return items.join(terms.groupBy("item_key").applyInPandas(choose, "item_key bigint, anchors array<int>"), "item_key")
 
 
-def matches(tokens: list[str], item: list[str], diagonal: int, window: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of the document on which it agrees with the item for a whole window at least."""
+def matches(at: dict[int, int], item: list[int], diagonal: int, window: int) -> list[tuple[int, int]]:
+    """Runs [start, end) of the document (position to term) on which it agrees with the item for a whole window at least."""
     size = min(window, len(item))
     out, start = [], None
-    first, last = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
-    for i in range(first, last + 1):
-        if i < last and tokens[i + diagonal] == item[i]:
+    for i in range(len(item) + 1):
+        if i < len(item) and at.get(i + diagonal) == item[i]:
             start = i if start is None else start
         elif start is not None:
             if i - start >= size:
@@ -94,60 +128,151 @@ def matches(tokens: list[str], item: list[str], diagonal: int, window: int) -> l
     return out
 
 
-def proximity(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
-    """doc_id, text_hash, item_key, near: item anchors that stand within slop words of their place relative to the document's
-    bin of diagonals, in any order: inexact passages. Counted, not paired."""
-    met = index.withColumnRenamed("pos", "doc_pos").join(anchors, "term")
-    bins = met.withColumn("bin", F.explode(F.array(*[F.floor((F.col("doc_pos") - F.col("pos")) / (2 * slop) + h).cast("long") * 2 + int(2 * h) for h in (0, 0.5)])))
-    return bins.groupBy("doc_id", "text_hash", "item_key", "bin").agg(F.countDistinct("pos").alias("near")).groupBy("doc_id", "text_hash", "item_key").agg(F.max("near").alias("near"))
+class Matcher:
+    """A block of items, by the terms of their anchors."""
+
+    def __init__(self, rows: list[tuple[str, list[int], list[int]]], window: int):
+        self.items = [(name, terms) for name, terms, _ in rows]
+        self.window = window
+        self.need = [min(ANCHORS, window, len(terms)) for _, terms in self.items]
+        self.by_term: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, terms, anchors) in enumerate(rows):
+            for a in anchors:
+                self.by_term[terms[a]].append((k, a))
+        self.anchor_terms = np.array(sorted(self.by_term), np.int64)
+
+    def diagonals(self, terms: np.ndarray, pos: np.ndarray) -> Counter:
+        """(item, diagonal) to the number of offset-adjusted lists that meet there."""
+        met: Counter = Counter()
+        if not len(self.anchor_terms) or not len(terms):
+            return met
+        i = np.minimum(np.searchsorted(self.anchor_terms, terms), len(self.anchor_terms) - 1)
+        for k in np.flatnonzero(self.anchor_terms[i] == terms).tolist():
+            p = int(pos[k])
+            for item, a in self.by_term[int(terms[k])]:
+                met[item, p - a] += 1
+        return met
+
+    def hits(self, terms: np.ndarray, pos: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of hit words, and the items that occur."""
+        runs, names, at = [], set(), None
+        for (item, diagonal), n in self.diagonals(terms, pos).items():
+            if n < self.need[item]:
+                continue
+            at = at if at is not None else dict(zip(pos.tolist(), terms.tolist(), strict=True))
+            if found := matches(at, self.items[item][1], diagonal, self.window):
+                runs += found
+                names.add(self.items[item][0])
+        return runs, names
+
+    def near(self, terms: np.ndarray, pos: np.ndarray, slop: int) -> dict[str, int]:
+        """For each item, the most anchor postings whose diagonals lie within slop of each other."""
+        by_item: dict[int, list[int]] = defaultdict(list)
+        for (item, d), n in self.diagonals(terms, pos).items():
+            by_item[item] += [d] * n
+        out = {}
+        for item, ds in by_item.items():
+            ds.sort()
+            out[self.items[item][0]] = max(int(np.searchsorted(ds, d + slop, side="right")) - k for k, d in enumerate(ds))
+        return out
+
+
+def blocks_of(items: DataFrame, window: int) -> Iterator[Matcher]:
+    """Matchers of at most ITEM_BLOCK words each (or one longer item)."""
+    rows, held = [], 0
+    for r in items.where("size(anchors) > 0").orderBy("item_key").select(F.col("item_id").cast("string").alias("item_id"), "terms", "anchors").toLocalIterator():
+        if rows and held + len(r["terms"]) > ITEM_BLOCK:
+            yield Matcher(rows, window)
+            rows, held = [], 0
+        rows.append((r["item_id"], r["terms"], r["anchors"]))
+        held += len(r["terms"])
+    yield Matcher(rows, window)
+
+
+def _lists(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def find(index: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, item_ids (sorted strings) of every row of the index. Each block of items reads the
+    index once; runs of several blocks are united by document."""
+    spark = index.sparkSession
+    parts = []
+    for matcher in blocks_of(items, window):
+        sent = spark.sparkContext.broadcast(matcher)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                runs, names = [], []
+                for i in range(len(b)):
+                    found, held = sent.value.hits(_lists(b["terms"], i), _lists(b["pos"], i))
+                    runs.append(sorted({p for s, e in found for p in range(s, e)}))
+                    names.append(sorted(held))
+                columns = [b["doc_id"], b["text_hash"], b["n_words"], pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "hit", "item_ids"])
+
+        parts.append(index.mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, hit array<int>, item_ids array<string>"))
+    out = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        # Each block returns every row once; rows that repeat an id and a text come back as often as they are.
+        grouped = out.groupBy("doc_id", "text_hash", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.count(F.lit(1)).alias("__n"))
+        out = grouped.withColumn("__k", F.explode(F.sequence(F.lit(1), (F.col("__n") / len(parts)).cast("int")))).drop("__n", "__k")
+    return out.select("doc_id", "text_hash", "n_words", F.size("hit").cast("bigint").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
+
+
+def proximity(index: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:
+    """doc_id, text_hash, item_id, n_near: inexact passages, by the number of an item's rare terms that stand within slop words
+    of their places relative to each other."""
+    spark = index.sparkSession
+    out = None
+    for matcher in blocks_of(items, window):
+        sent = spark.sparkContext.broadcast(matcher)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(b["doc_id"][i].as_py(), b["text_hash"][i].as_py(), *kv) for i in range(len(b)) for kv in sent.value.near(_lists(b["terms"], i), _lists(b["pos"], i), slop).items()]
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", "item_id", "n_near"])
+
+        part = index.mapInArrow(run, "doc_id bigint, text_hash bigint, item_id string, n_near int")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def index_corpus(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The stored index of docs, and the benchmark's items with their anchors."""
+    items = materialise(items_of(benchmark), "items")
+    vocabulary = items.select(F.explode("terms").alias("term")).distinct()
+    known = {r["term"] for r in vocabulary.toLocalIterator()} if vocabulary.count() <= MAX_VOCABULARY else None
+    index = materialise(build_index(docs, known), "postings")
+    postings = index.select(F.explode("terms").alias("term"))
+    counts = (postings if known is not None else postings.join(vocabulary, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return index, materialise(with_anchors(items, counts, window), "anchored-items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of docs, and __n_words, __n_hit, __item_ids (sorted strings).
+    """doc_id, text_hash (xxhash64 of the text), n_words, n_hit, item_ids (sorted strings), one row per row of docs.
 
     Null and empty texts have no words; items that are null, without words or without an id match nothing; repeated
-    documents and ids are judged row by row; extra columns are carried as they are.
+    documents and ids are judged row by row; extra columns are not carried.
     """
-    hashed = docs.withColumn("text_hash__", F.xxhash64("text"))
-    slim = hashed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text_hash__").alias("text_hash"))
-    items = materialise(items_of(benchmark), "items")
-    vocabulary = materialise(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    counts = materialise(postings(slim, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
-    anchors = materialise(anchors_of(items, counts, window), "anchors")
-    index = materialise(postings(slim, anchors.select("term").distinct()).distinct(), "postings")
-    found = diagonals(index, anchors).join(items, "item_key").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("diagonal").cast("int").alias("diagonal"), "words")).alias("__found")
-    )
-    found = materialise(found, "diagonals").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "__found")
-    joined = hashed.join(found, (F.col("text_hash__") == F.col("__h")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")), "left").drop("__d", "__h", "text_hash__")
-
-    @F.arrow_udf("struct<n_words:bigint,n_hit:bigint,item_ids:array<string>>")
-    def judge(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for text, cases in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            tokens = WORD.findall(text.translate(_LOWER)) if text else []
-            hit, ids = np.zeros(len(tokens), bool), set()
-            for c in cases or ():
-                for a, b in matches(tokens, c["words"], c["diagonal"], window):
-                    hit[a:b] = True
-                    ids.add(c["item_id"])
-            out.append({"n_words": len(tokens), "n_hit": int(hit.sum()), "item_ids": sorted(ids)})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string()))]))
-
-    judged = spread(joined).withColumn("__judged", judge(F.col("text").cast("string"), F.col("__found")))
-    return judged.select(*docs.columns, F.col("__judged.n_words").alias("__n_words"), F.col("__judged.n_hit").alias("__n_hit"), F.col("__judged.item_ids").alias("__item_ids"))
+    return find(*index_corpus(docs, benchmark, window), window)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, with their columns."""
-    return contamination(docs, benchmark, window).where("__n_hit = 0").select(*docs.columns)
+    bad = materialise(contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
+    same = (F.xxhash64(docs["text"]) == F.col("__h")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("__d"))
+    return docs.join(bad, same, "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__item_ids").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("__item_ids", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

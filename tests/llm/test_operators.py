@@ -307,7 +307,7 @@ def test_hosts_agree_on_a_path(spark):
 # 9 decontamination
 
 
-def test_decontamination_equals_brute_force(spark):
+def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, n, 300))) for i, n in enumerate([3, 9, 10, 11, 25, 60])] + [(50, None), (51, ""), (None, "w1 w2 w3"), (2, "w1 w2 w1 w2 w1 w2")]
     docs = []
@@ -322,17 +322,31 @@ def test_decontamination_equals_brute_force(spark):
         docs.append((d, ", ".join(t).upper()))
     docs += [(100, None), (101, ""), (102, "w1 w2 w1 w2 w1 w2 w1 w2 w1 w2 w1 w2")]
     out = decontaminate.contamination(clashing(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
-    got = {r["doc_id"]: (r["__n_words"], r["__n_hit"], r["__item_ids"]) for r in out.collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()}
     assert got == brute.contaminated(docs, items)
-    assert out.columns[:-3] == clashing(spark, docs).columns
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 30)
+    monkeypatch.setattr(decontaminate, "MAX_VOCABULARY", 0)
+    out = decontaminate.contamination(clashing(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()} == got
+
+
+def test_proximity_finds_inexact_passages(spark):
+    passage = " ".join(f"q{i}" for i in range(30))
+    broken = " ".join(f"q{i}" + (" filler" if i % 7 == 3 else "") for i in range(30))
+    docs = spark.createDataFrame([(1, passage), (2, broken), (3, " ".join(f"q{29 - i}" for i in range(30)))], DOCS)
+    index, items = decontaminate.index_corpus(docs, spark.createDataFrame([(7, passage)], "item_id bigint, text string"))
+    near = {r["doc_id"]: r["n_near"] for r in decontaminate.proximity(index, items, 10, 6).collect()}
+    assert near[1] == near[2] > near[3]
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.find(index, items, 10).collect()} == {1: 30, 2: 0, 3: 0}
 
 
 def test_decontamination_odd_tables(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert decontaminate.contamination(spark.createDataFrame([], DOCS), items).collect() == []
     docs = spark.createDataFrame([(1, "x a b c y"), (1, "a b c"), (1, "q"), (None, "a b c")], DOCS)
-    assert sorted(r["__n_hit"] for r in decontaminate.contamination(docs, items).collect()) == [0, 3, 3, 3]
+    assert sorted(r["n_hit"] for r in decontaminate.contamination(docs, items).collect()) == [0, 3, 3, 3]
     assert [r["text"] for r in decontaminate.drop_contaminated(docs, items).collect()] == ["q"]
+    assert decontaminate.drop_contaminated(clashing(spark, [(1, "a b c"), (2, "x")]), items).columns == clashing(spark, []).columns
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 4
 
 
