@@ -11,6 +11,7 @@ block pairs, which return a spanning forest of the links and no list of pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ SIGMAS = 4.5
 #: Members at least so similar to a centre need no other centre; see canopies().
 INNER = 0.6
 BLOCK = 256
+#: Bands of at most so many nodes end inside a task, and rows that a task takes of them.
+SMALL_BAND, TASK_ROWS = 512, 20_000
 #: Shingles that are hashed M ways at a time.
 CHUNK = 512
 MAX_ROUNDS = 200
@@ -145,23 +148,59 @@ def _estimated(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("est", est("sc", "sx", "nc", "nx")).drop("sc", "sx")
 
 
+def _rest(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """c, x of bands of at most SMALL_BAND nodes, centre by centre inside a task. A task holds about TASK_ROWS rows of many
+    bands; likeness to a centre is the share of equal registers."""
+    parts = max(1, -(-rows.count() // TASK_ROWS))
+    dealt = rows.join(known.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("band"), F.lit(parts)))
+
+    def run(t: pa.Table) -> pa.Table:
+        band, node = t.column("band").to_numpy(), t.column("node").to_numpy()
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(order), M)[order]
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        centres, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip(starts, np.r_[starts[1:], len(band)], strict=True):
+            left = np.arange(lo, hi)
+            while len(left) > 1:
+                c, left = left[0], left[1:]
+                centres.append(np.full(len(left), node[c]))
+                others.append(node[left])
+                left = left[(sketch[left] == sketch[c]).mean(axis=1) < INNER]
+        pairs = np.unique(np.stack([np.concatenate(centres), np.concatenate(others)], axis=1), axis=0)
+        return pa.table({"c": pa.array(pairs[:, 0], pa.int64()), "x": pa.array(pairs[:, 1], pa.int64())})
+
+    return dealt.groupBy("part").applyInArrow(run, "c bigint, x bigint")
+
+
 def canopies(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows: band, node, of bands with several nodes. Returns c, x, est: every node x that shares a band with centre c.
+    """rows: band, node, of bands with several nodes. Returns c, x, nc, nx, est: every node x that shares a band with centre c.
 
     In each band the least node is the centre; nodes estimated INNER or more alike are done with this band, the others
     choose again among themselves. Two nodes of a band are together in a canopy: that of the first centre that took one.
+    The first round and those of bands over SMALL_BAND nodes are joins; what is left of small bands ends inside tasks.
     """
-    out = None
+    parts = []
     for i in range(MAX_ROUNDS):
         centres = rows.groupBy("band").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c <> last").select("band", "c")
         met = rows.join(centres, "band").where("node <> c").withColumnRenamed("node", "x")
         pairs = materialise(_estimated(met.select("c", "x").distinct(), known), f"canopy{i}").select("c", "x", "nc", "nx", "est")
-        out = pairs if out is None else out.unionAll(pairs)
+        parts.append(pairs)
         far = pairs.where(F.col("est") < INNER).select("c", "x")
-        rows = materialise(met.join(far, ["c", "x"], "left_semi").select("band", F.col("x").alias("node")), f"band-rest{i}")
-        if rows.isEmpty():
-            return out.groupBy("c", "x").agg(F.max("est").alias("est"), F.first("nc").alias("nc"), F.first("nx").alias("nx"))
-    raise RuntimeError("canopies did not settle")
+        rows = met.join(far, ["c", "x"], "left_semi").select("band", F.col("x").alias("node"))
+        several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = materialise(rows.join(several, "band"), f"band-rest{i}")
+        large = rows.agg(F.max("n")).first()[0]
+        if large is None:
+            break
+        if large <= SMALL_BAND:
+            parts.append(materialise(_estimated(_rest(rows, known).distinct(), known), "canopy-rest").select("c", "x", "nc", "nx", "est"))
+            break
+        rows = rows.drop("n")
+    else:
+        raise RuntimeError("canopies did not settle")
+    return reduce(DataFrame.unionAll, parts).groupBy("c", "x").agg(F.max("est").alias("est"), F.first("nc").alias("nc"), F.first("nx").alias("nx"))
 
 
 def forest(a: list[np.ndarray], b: list[np.ndarray] | None, ids_a: list[int], ids_b: list[int], percent: int) -> list[tuple[int, int]]:

@@ -50,7 +50,8 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) and r["n_shingles"] == len(brute.shingle_set(dict(rows)[r["doc_id"]], k)) for r in got)
 
 
-def test_near_duplicates_of_a_large_group(spark):
+@pytest.mark.parametrize("small_band", [0, 8, 512])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, small_band):
     """A family whose members are alike at 0.4 to 0.95: components hang on links between members, not on a centre."""
     rng = random.Random(3)
     base = words(rng, 60, 9000)
@@ -60,11 +61,9 @@ def test_near_duplicates_of_a_large_group(spark):
         for _ in range(rng.choice([0, 1, 1, 2, 3])):
             t[rng.randrange(60)] = f"y{rng.randrange(40)}"
         rows.append((i, " ".join(t)))
-    old, near_dedup.BLOCK = near_dedup.BLOCK, 16
-    try:
-        got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
-    finally:
-        near_dedup.BLOCK = old
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SMALL_BAND", small_band)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(rows)
 
 
