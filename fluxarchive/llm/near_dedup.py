@@ -39,6 +39,8 @@ SMALL_BAND, TASK_ROWS = 512, 20_000
 #: Shingles that are hashed M ways at a time.
 CHUNK = 512
 MAX_ROUNDS = 200
+#: Hashes of words that a task remembers.
+WORDS_HELD = 200_000
 _ODD = np.random.default_rng(20240501).integers(1, 2**63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -46,7 +48,7 @@ class _Words(dict):
     """Hashes of words seen, emptied when full."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -112,8 +114,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         seen, held = _Words(), np.empty((M, CHUNK), np.uint64)
         for b in batches:
             n, digest, sketch, bands = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, k, seen)
+            for t in b.column(1):  # one text at a time in Python
+                s = shingles(t.as_py(), k, seen)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if not len(s):
@@ -155,21 +157,24 @@ def _rest(rows: DataFrame, known: DataFrame) -> DataFrame:
     dealt = rows.join(known.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("band"), F.lit(parts)))
 
     def run(t: pa.Table) -> pa.Table:
-        band, node = t.column("band").to_numpy(), t.column("node").to_numpy()
+        nodes, node = np.unique(t.column("node").to_numpy(), return_inverse=True)
+        band = t.column("band").to_numpy()
         order = np.lexsort((node, band))
         band, node = band[order], node[order]
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(order), M)[order]
         starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        centres, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found, held, n_held = np.empty(0, np.int64), [], 0  # pairs as c * n + x
         for lo, hi in zip(starts, np.r_[starts[1:], len(band)], strict=True):
             left = np.arange(lo, hi)
             while len(left) > 1:
                 c, left = left[0], left[1:]
-                centres.append(np.full(len(left), node[c]))
-                others.append(node[left])
+                held.append(node[c] * len(nodes) + node[left])
+                n_held += len(left)
                 left = left[(sketch[left] == sketch[c]).mean(axis=1) < INNER]
-        pairs = np.unique(np.stack([np.concatenate(centres), np.concatenate(others)], axis=1), axis=0)
-        return pa.table({"c": pa.array(pairs[:, 0], pa.int64()), "x": pa.array(pairs[:, 1], pa.int64())})
+            if n_held > 500_000:
+                found, held, n_held = np.unique(np.concatenate([found, *held])), [], 0
+        found = np.unique(np.concatenate([found, *held]))
+        return pa.table({"c": pa.array(nodes[found // len(nodes)], pa.int64()), "x": pa.array(nodes[found % len(nodes)], pa.int64())})
 
     return dealt.groupBy("part").applyInArrow(run, "c bigint, x bigint")
 
@@ -250,9 +255,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         seen = _Words()
         for b in batches:
             kept, out = [], []
-            for i, (t, d) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                s = shingles(t, k, seen).tobytes()
-                if xxhash.xxh3_128_digest(s) == d:
+            for i, (t, d) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                s = shingles(t.as_py(), k, seen).tobytes()
+                if xxhash.xxh3_128_digest(s) == d.as_py():
                     kept.append(i)
                     out.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.binary())], ["node", "s"])
