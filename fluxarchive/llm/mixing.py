@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -77,6 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     )
     # The key is spread by 1 - exp(-key / 4): slices of about the same number of documents, in the order of the keys.
     rows = rows.withColumn("slice", F.floor(F.lit(SLICES) * (1 - F.exp(-F.col("key") / 4))).cast("int"))
+    rows = materialise(rows, "mix-rows")  # texts are read once: sizes and keys serve the sums and the order
     per_slice = rows.groupBy("mix_source", "slice").agg(F.sum("size").alias("slice_size"))
     offsets = per_slice.withColumn(
         "before", F.coalesce(F.sum("slice_size").over(W.partitionBy("mix_source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
