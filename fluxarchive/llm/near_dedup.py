@@ -168,9 +168,11 @@ def _rest(rows: DataFrame, known: DataFrame) -> DataFrame:
             left = np.arange(lo, hi)
             while len(left) > 1:
                 c, left = left[0], left[1:]
-                held.append(node[c] * len(nodes) + node[left])
-                n_held += len(left)
-                left = left[(sketch[left] == sketch[c]).mean(axis=1) < INNER]
+                far = (sketch[left] == sketch[c]).mean(axis=1) < INNER
+                if not far.all():  # else nothing ends here: all go on together, and none can be linked to this centre
+                    held.append(node[c] * len(nodes) + node[left])
+                    n_held += len(left)
+                left = left[far]
             if n_held > 500_000:
                 found, held, n_held = np.unique(np.concatenate([found, *held])), [], 0
         found = np.unique(np.concatenate([found, *held]))
