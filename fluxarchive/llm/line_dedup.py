@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Shorter lines (code points) are never dropped.
+#: Shorter lines (code points) are dropped only as exact repeats, and only where dedup_lines is asked to.
 MIN_CHARS = 24
 HALVES, EIGHTHS = 2, 8
 
@@ -83,18 +83,24 @@ def near_lines(lines: DataFrame, first: DataFrame, occurrences: DataFrame) -> Da
     return checked.where(F.levenshtein("own", "line", 1) >= 0).groupBy("line_key").agg(F.min("other_first").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """All columns of docs with the kept lines as text, and __n_lines, __n_dropped (long).
 
+    Lines under min_chars are never near another; with short_repeats, their exact repeats are dropped too. Blank lines that
+    short stay.
     Lines end at \\n. Of equal positions (rows that repeat an id and a text) none is earlier: they come out alike. Rows that
     share an id but not the text are ordered by a hash of the text; a null id comes first. Null texts stay null and have no
     lines, empty ones one empty line. Other columns are carried as they are; where docs has n_chars it is not changed.
     """
     rows = docs.withColumn("__h", F.xxhash64("text"))
     line = F.col("line")
-    all_lines = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "__h", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line")).where(F.length("line") >= min_chars)
+    all_lines = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "__h", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
+    long = F.length("line") >= min_chars
+    said = F.length(F.trim(F.translate("line", "\r\t", "  "))) > 0
+    all_lines = all_lines.where(long | said if short_repeats else long)
     keyed = all_lines.select("doc_id", "__h", "no", F.xxhash64(line).alias("line_key"), line)
     half_keys = F.transform(_outer_keys(line, F.length(line), HALVES), lambda x: x["key"])
+    half_keys = F.when(long, half_keys) if short_repeats else half_keys
     occurrences = materialise(keyed.select("doc_id", "__h", "no", "line_key", half_keys.alias("halves")), "line-keys")
     position = F.struct("doc_id", F.col("__h").alias("h"), "no")
     first = materialise(occurrences.groupBy("line_key").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
