@@ -45,6 +45,7 @@ class Node:
     text: int = 0  # characters outside links
     linked: int = 0
     blocks: list[str] = field(default_factory=list)
+    parent: Node | None = None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -167,7 +168,7 @@ def containers(page: str) -> list[Node]:
                 del stack[k:]
         node = opened[-1]
         if tag in CONTAINERS and not off and not dropped:
-            node = Node(tag, f"{node.path}>{_generalised(tag, attributes)}", m.start(), tag in ("article", "main") or bool(GOOD.search(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('itemprop', '')}".lower())))
+            node = Node(tag, f"{node.path}>{_generalised(tag, attributes)}", m.start(), tag in ("article", "main") or bool(GOOD.search(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('itemprop', '')}".lower())), parent=node)
             nodes.append(node)
             opened.append(node)
         stack.append((tag, node, off))
@@ -185,9 +186,15 @@ def score(node: Node) -> float:
 
 
 def best(nodes: list[Node]) -> Node:
-    """The deepest container that scores nearly as well as the best."""
+    """The article around the deepest container that scores nearly as well as the best: its outermost article or main, or
+    else the outermost one of an article class that scores no less, so that a title, lead or section beside it is kept."""
     top = max(score(n) for n in nodes)
-    return max((n for n in nodes if score(n) >= 0.8 * top), key=lambda n: (n.path.count(">"), score(n), -n.start))
+    found = n = max((n for n in nodes if score(n) >= 0.8 * top), key=lambda n: (n.path.count(">"), score(n), -n.start))
+    around = [n]
+    while n := n.parent:
+        around.append(n)
+    whole = [n for n in around if n.tag in ("article", "main")] or [n for n in around if n.good and score(n) >= score(found)]
+    return whole[-1] if whole else found
 
 
 def extract_with(nodes: list[Node], path: str | None) -> str:

@@ -309,6 +309,27 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "brief"
 
 
+@pytest.mark.parametrize(
+    ("around", "beside"),
+    [
+        ("<article>{}</article>", ""),
+        ('<article class="post"><div>{}</div></article>', ""),
+        ('<main>{}</main>', ""),
+        ('<main><article>{}</article></main>', ""),
+        ('<div class="post">{}</div>', '<div class="box"><p>Elsewhere</p></div>'),
+    ],
+)
+def test_what_stands_beside_the_body_is_kept(spark, around, beside):
+    body = "".join(f"<p>Paragraph {i} of the text, with some words.</p>" for i in range(20))
+    inner = f'<h1>Title</h1><p class="lead">Lead.</p><div class="content">{body}</div><section><p>Last part.</p></section>'
+    page = f"<html><body><nav><p>Menu</p></nav>{around.format(inner)}{beside}</body></html>"
+    got = html_extract.extract_with(html_extract.containers(page), None).split("\n")
+    assert got[:3] == ["Title", "Lead.", "Paragraph 0 of the text, with some words."] and got[-1] == "Last part." and len(got) == 23
+    rows = [(i, "https://a.dk/x", page) for i in range(3)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert [r["text"].split("\n") for r in out] == [got] * 3
+
+
 # 9 decontamination
 
 
