@@ -8,6 +8,7 @@ containment of their bigrams, confirms the prediction.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -78,8 +79,6 @@ PROSE = (
     "He wrote three letters to his sister and never sent one of them.", "Prices for fresh fish rose by four percent in the last quarter.",
     "A small group of walkers found the old mill behind the wood.", "of the and to in is was for on with as by at from this that be it are an or",
 )
-#: The classifier's first decision: a paragraph without any of these stems is unknown. Each template holds one.
-STEMS = ("licen", "redistribut", "warrant", "permission", "spdx")
 MIN_CONFIDENCE = 0.5
 MIN_CONTAINMENT = 0.4
 
@@ -127,6 +126,25 @@ class LicenseClassifier:
         #: Between the most confident held-out decoy and the least confident held-out variant.
         self.threshold = max(MIN_CONFIDENCE if (r["decoy"] or 0) < MIN_CONFIDENCE else (r["decoy"] + max(r["decoy"], r["variant"] or 1.0)) / 2, 0.0)
 
+        words, bigrams = self.model.stages[0], self.model.stages[1]
+        texts = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "f string, paragraph string")
+        grams = [(r["f"], r["w2"]) for r in bigrams.transform(words.transform(texts)).select("f", "w2").collect()]
+        #: The templates' bigrams, by family.
+        self.bigrams = {f: [g for x, g in grams if x == f] for f in TEMPLATES}
+
+    def confirmable(self, rows: DataFrame) -> DataFrame:
+        """The rows whose paragraph reaches MIN_CONTAINMENT for a template of any family: no other can be confirmed."""
+        templates = [sorted(set(t)) for ts in self.bigrams.values() for t in ts]
+        every = sorted({g for t in templates for g in t})
+        read = self.model.stages[1].transform(self.model.stages[0].transform(rows))
+        enough = lambda h: reduce(
+            lambda a, b: a | b,
+            [(F.size(h) >= math.ceil(MIN_CONTAINMENT * len(t))) & (F.size(F.array_intersect(h, F.array(*map(F.lit, t)))) / F.lit(len(t)) >= MIN_CONTAINMENT) for t in templates],
+        )
+        # An array of one, so that the shared bigrams are looked up once.
+        shared = F.array(F.array_distinct(F.filter("w2", lambda g: g.isin(every))))
+        return read.where(F.exists(shared, lambda h: (F.size(h) > 0) & enough(h))).select(*rows.columns)
+
     def _confident(self, rows: DataFrame) -> DataFrame:
         """Adds best (class with the greatest probability among the families) and confidence."""
         p = self.model.transform(rows).withColumn("p", F.slice(vector_to_array("probability"), 1, len(self.families) - 1))
@@ -137,13 +155,8 @@ class LicenseClassifier:
         named = self._confident(rows)
         family = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("best").cast("int") + 1)
         named = named.withColumn("family", F.when(F.col("confidence") >= self.threshold, family).otherwise(F.lit(UNKNOWN)))
-        spark = rows.sparkSession
-        templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "f string, paragraph string")
-        words, bigrams = self.model.stages[0], self.model.stages[1]
-        grams = [(r["f"], r["w2"]) for r in bigrams.transform(words.transform(templates)).select("f", "w2").collect()]
         held = lambda ts: F.greatest(*[F.size(F.array_intersect("w2", F.array(*[F.lit(x) for x in sorted(set(t))]))) / F.lit(len(set(t))) for t in ts], F.lit(0.0))
-        by_family = {f: [g for x, g in grams if x == f] for f in TEMPLATES}
-        containment = reduce(lambda out, f: F.when(F.col("family") == f, held(by_family[f])).otherwise(out), sorted(TEMPLATES), F.lit(0.0))
+        containment = reduce(lambda out, f: F.when(F.col("family") == f, held(self.bigrams[f])).otherwise(out), sorted(TEMPLATES), F.lit(0.0))
         return named.withColumn("containment", containment).withColumn("confirmed", F.col("containment") >= MIN_CONTAINMENT)
 
 
@@ -151,15 +164,15 @@ def scan_licenses(docs: DataFrame, classifier: LicenseClassifier) -> DataFrame:
     """doc_id, n_paragraphs, n_notices, families (sorted names of confirmed notices, comma-joined), notices (array of
     paragraph number, family, confidence, containment), one row per document.
 
-    Whole texts are read line by line; lines without a stem of the templates are unknown at once, the others are classified. Null and empty texts have no notice and families ''; repeated rows and ids are
-    scanned row by row; extra columns are not carried. Blank lines are no paragraphs.
+    Whole texts are read line by line. Lines that share too few bigrams with every template to be confirmed as any family
+    are not classified; all others are. Null and empty texts have no notice and families ''; repeated rows and ids are scanned
+    row by row; extra columns are not carried. Blank lines are no paragraphs.
     """
     lines = F.filter(F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("paragraph"))), lambda x: F.length(F.trim(x["paragraph"])) > 0)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(lines, F.array().cast("array<struct<no:int,paragraph:string>>")).alias("lines"))
     # A document's own number of paragraphs needs no shuffle; only the few notices are grouped.
     paragraphs = rows.select("doc_id", "text_hash", F.explode("lines").alias("x")).select("doc_id", "text_hash", "x.*")
-    paragraphs = paragraphs.where(F.col("paragraph").rlike("(?i)" + "|".join(STEMS)))
-    notices = classifier.classify(paragraphs).where("confirmed").select("doc_id", "text_hash", "no", "family", "confidence", "containment").distinct()
+    notices = classifier.classify(classifier.confirmable(paragraphs)).where("confirmed").select("doc_id", "text_hash", "no", "family", "confidence", "containment").distinct()
     found = notices.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(
         F.array_sort(F.collect_list(F.struct("no", "family", "confidence", "containment"))).alias("notices")
     )

@@ -275,6 +275,18 @@ def test_licenses_are_found_and_decoys_are_not(spark, classifier):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS), classifier).collect() == []
 
 
+def test_notices_without_a_stem_are_classified(spark, classifier):
+    """Every notice that the classifier confirms on its own is found in a text."""
+    said = ["Released under CC BY-NC 4.0.", "(c) 2021 Jane, CC BY-NC 4.0", "Released under BSD 3-Clause.", "This work is under a Creative Commons Attribution-NonCommercial 4.0 International.", "Words under the bridge."]
+    said += [t for ts in licenses.TEMPLATES.values() for t in ts] + [*licenses.DECOYS, *licenses.PROSE]
+    one = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id bigint, paragraph string")
+    want = {r["doc_id"]: r["family"] for r in classifier.classify(one).where("confirmed").collect()}
+    got = licenses.scan_licenses(spark.createDataFrame([(i, f"Before.\n{t}") for i, t in enumerate(said)], DOCS), classifier).collect()
+    assert {r["doc_id"]: r["families"] for r in got if r["families"]} == want
+    print({said[i]: f for i, f in want.items() if i < 5})
+    assert want[0] == "cc"
+
+
 # 8 HTML
 
 
