@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Assignments, access ids and hex keys are reported wherever they stand. Weaker candidates (bare high-entropy strings,
-endpoints, short ids) are reported only where complementary parts meet: each document is cut into scopes (blocks between
-blank lines, at most SCOPE_LINES lines), parts are joined to the scope intervals that hold them, and a scope's weak
-candidates count if it holds a secret-like part together with an access id, or with an endpoint.
+endpoints, short ids) are reported only where complementary parts meet: a scope is any SCOPE_LINES lines in a row of a block
+between blank lines, so that scopes overlap, and its weak candidates count if it holds a secret-like part together with an
+access id, or with an endpoint.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ MIN_ENTROPY = 3.6
 SCOPE_LINES = 40
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key_id", "endpoint", "bare")
+#: The others are ids and endpoints.
+SECRETS = frozenset(("assign", "hex", "bare"))
 
 Span = tuple[int, int, str, str]  # start, end, kind, text
 
@@ -58,22 +61,37 @@ def weak_spans(text: str) -> list[Span]:
     return out
 
 
-def scope_starts(text: str) -> list[int]:
-    """Starts of the scopes, the first at 0."""
-    starts, lines, blank = [0], 0, False
+def line_starts(text: str) -> tuple[list[int], list[int]]:
+    """Starts of the lines, and for each the block that it stands in; a blank line ends its block."""
+    starts, blocks, block, blank = [], [], 0, False
     for m in re.finditer(r"[^\n]*\n|[^\n]+$", text):
-        lines += 1
-        if not m[0].strip():
-            blank = True
-        elif blank or lines > SCOPE_LINES:
-            if m.start():
-                starts.append(m.start())
-            lines, blank = 1, False
-    return starts
+        said = bool(m[0].strip())
+        block += blank and said
+        blank = not said
+        starts.append(m.start())
+        blocks.append(block)
+    return starts, blocks
+
+
+def meeting(parts: list[tuple[int, int, bool]]) -> list[bool]:
+    """parts: block, line, whether a secret. Whether some SCOPE_LINES lines in a row of its block hold the part, a secret and
+    an id or endpoint. The closest pairs of both sorts stand side by side in the order of lines."""
+    order = sorted(set(parts))
+    pairs: dict[int, list[tuple[int, int]]] = {}
+    for (k, p, a), (j, q, b) in pairwise(order):
+        if k == j and a != b and q - p < SCOPE_LINES:
+            pairs.setdefault(k, []).append((p, q))
+    out = []
+    for k, line, _ in parts:
+        met = pairs.get(k, [])
+        i = bisect_left(met, line, key=lambda x: x[0])  # the first pair that starts here or later
+        j = bisect_right(met, line, key=lambda x: x[1])  # after the last one that ends here or earlier
+        out.append(i < len(met) and met[i][1] - line < SCOPE_LINES or j > 0 and line - met[j - 1][0] < SCOPE_LINES)
+    return out
 
 
 def linked_spans(text: str) -> list[Span]:
-    """All spans of a text: the base ones, and weak ones whose scope holds complementary parts. A weak span that overlaps a
+    """All spans of a text: the base ones, and weak ones of which a scope holds complementary parts. A weak span that overlaps a
     base span of the same text is part of it and not reported again."""
     strong = base_spans(text)
     weak = weak_spans(text) if strong or "://" in text or "=" in text or ":" in text else []
@@ -84,13 +102,12 @@ def linked_spans(text: str) -> list[Span]:
     for _, e in taken:
         ends.append(top := max(top, e))
     free = [x for x in weak if not (i := bisect_right(taken, (x[1] - 1, math.inf))) or ends[i - 1] <= x[0]]
-    starts = scope_starts(text)
-    roles: dict[int, set[str]] = {}
-    role = {"assign": "secret", "hex": "secret", "bare": "secret", "access": "id", "key_id": "id", "endpoint": "endpoint"}
+    starts, blocks = line_starts(text)
+    parts = []
     for x in strong + free:
-        roles.setdefault(bisect_right(starts, x[0]), set()).add(role[x[2]])
-    meets = {k for k, r in roles.items() if "secret" in r and len(r) >= 2}
-    return strong + [x for x in free if bisect_right(starts, x[0]) in meets]
+        line = bisect_right(starts, x[0]) - 1
+        parts.append((blocks[line], line, x[2] in SECRETS))
+    return strong + [x for x, met in zip(free, meeting(parts)[len(strong) :], strict=True) if met]
 
 
 def _ordered(spans: list[Span]) -> list[Span]:

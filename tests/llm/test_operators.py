@@ -190,6 +190,25 @@ def test_weak_parts_count_only_together(spark):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], DOCS))).collect() == []
 
 
+def test_weak_parts_meet_across_any_line():
+    """Wherever a pair stands in a long block; parts of SCOPE_LINES lines or more apart do not meet."""
+    bare = "Zk3Qx9LmT7vR2pW8sB4n"
+    kinds = lambda t: {x[2] for x in secrets.linked_spans(t)}
+    for at in range(95):
+        assert kinds("\n".join(["words"] * at + ["client_id: admin", bare] + ["words"] * (95 - at))) == {"key_id", "bare"}
+    assert kinds("\n".join(["client_id: admin", *["words"] * 38, bare])) == {"key_id", "bare"}
+    assert kinds("\n".join(["client_id: admin", *["words"] * 39, bare])) == set()
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_meeting_parts_equal_plain_scopes(seed):
+    rng = random.Random(seed)
+    parts = [(rng.randrange(3), rng.randrange(400), rng.random() < 0.5) for _ in range(25)]
+    scopes = [[p for p in parts if p[0] == k and s <= p[1] < s + secrets.SCOPE_LINES] for k in range(3) for s in range(-40, 400)]
+    good = {p for ps in scopes if len({x[2] for x in ps}) == 2 for p in ps}
+    assert secrets.meeting(parts) == [p in good for p in parts]
+
+
 # 5 toxicity
 
 
