@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Shorter lines (code points) are dropped only as exact repeats, and only where dedup_lines is asked to.
+#: Shorter lines (code points) are duplicates only of equal ones.
 MIN_CHARS = 24
-HALVES, EIGHTHS = 2, 8
+EIGHTHS = 8
 
 
 def _parts(line: Column, size: Column, m: int, j: int, short: Column) -> tuple[Column, Column, Column]:
@@ -32,7 +32,7 @@ def _parts(line: Column, size: Column, m: int, j: int, short: Column) -> tuple[C
 
 
 def _outer_keys(line: Column, size: Column, m: int) -> Column:
-    """array of (key, part, short): hashes of the line without each part, as the shorter and as the longer of a pair."""
+    """array of (key, part, longer): hashes of the line without each part, as the shorter and as the longer of a pair."""
     out = []
     for longer in (0, 1):
         short = size - longer
@@ -42,6 +42,17 @@ def _outer_keys(line: Column, size: Column, m: int) -> Column:
     return F.array(*out)
 
 
+def _half_keys(line: Column, size: Column) -> Column:
+    """Hashes of either half of the line, as the shorter and as the longer of a pair: plain substrings, no lambda, so that the
+    pass over the corpus is generated code."""
+    out = []
+    for longer in (0, 1):
+        short = size - longer
+        left = F.floor(short / 2).cast("int")
+        out += [F.xxhash64(F.substring(line, F.lit(1), left), short, F.lit(1)), F.xxhash64(F.substring(line, left + 1 + longer, short - left), short, F.lit(0))]
+    return F.array(*out)
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """rows: key, line_key. Those whose key belongs to two different lines or more."""
     keys = rows.groupBy("key").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("key")
@@ -51,7 +62,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, first: DataFrame, occurrences: DataFrame) -> DataFrame:
     """lines: line_key, line of eligible lines; first: line_key, first (position), distinct; occurrences: line_key, halves.
     Returns line_key, near: the earliest position of a line one edit away, verified."""
-    halves = occurrences.select("line_key", F.explode("halves").alias("key")).distinct()
+    halves = occurrences.where("halves is not null").select("line_key", F.explode("halves").alias("key"))
     likely = materialise(_shared(halves).select("line_key").distinct(), "half-lines")
     candidates = lines.join(likely, "line_key").groupBy("line_key").agg(F.min("line").alias("line"))
     candidates = materialise(candidates.join(first, "line_key").withColumn("size", F.length("line")), "near-candidates")
@@ -83,40 +94,46 @@ def near_lines(lines: DataFrame, first: DataFrame, occurrences: DataFrame) -> Da
     return checked.where(F.levenshtein("own", "line", 1) >= 0).groupBy("line_key").agg(F.min("other_first").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
+def said(line: Column) -> Column:
+    """Whether a line holds more than blanks."""
+    return F.length(F.trim(F.translate(line, "\r\t", "  "))) > 0
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of docs with the kept lines as text, and __n_lines, __n_dropped (long).
 
-    Lines under min_chars are never near another; with short_repeats, their exact repeats are dropped too. Blank lines that
-    short stay.
+    Every line that is not blank takes part: one of min_chars code points or more is dropped if an earlier line is within
+    one edit, a shorter one, of which a single edit may make another word, only if an earlier line equals it. Blank lines
+    stay.
     Lines end at \\n. Of equal positions (rows that repeat an id and a text) none is earlier: they come out alike. Rows that
     share an id but not the text are ordered by a hash of the text; a null id comes first. Null texts stay null and have no
-    lines, empty ones one empty line. Other columns are carried as they are; where docs has n_chars it is not changed.
+    lines, empty ones one empty line. A line or text of any length is compared whole; an empty table gives an empty result.
+    Other columns are carried as they are; where docs has n_chars it is not changed.
     """
     rows = docs.withColumn("__h", F.xxhash64("text"))
     line = F.col("line")
     all_lines = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "__h", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
-    long = F.length("line") >= min_chars
-    said = F.length(F.trim(F.translate("line", "\r\t", "  "))) > 0
-    all_lines = all_lines.where(long | said if short_repeats else long)
-    keyed = all_lines.select("doc_id", "__h", "no", F.xxhash64(line).alias("line_key"), line)
-    half_keys = F.transform(_outer_keys(line, F.length(line), HALVES), lambda x: x["key"])
-    half_keys = F.when(long, half_keys) if short_repeats else half_keys
+    size = F.length(line)
+    keyed = all_lines.where(said(line)).select("doc_id", "__h", "no", F.xxhash64(line).alias("line_key"), line)
+    half_keys = F.when(size >= min_chars, _half_keys(line, size))
     occurrences = materialise(keyed.select("doc_id", "__h", "no", "line_key", half_keys.alias("halves")), "line-keys")
     position = F.struct("doc_id", F.col("__h").alias("h"), "no")
     first = materialise(occurrences.groupBy("line_key").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
-    near = materialise(near_lines(keyed.select("line_key", "line"), first.select("line_key", "first"), occurrences), "near-lines")
+    near = materialise(near_lines(keyed.where(size >= min_chars).select("line_key", "line"), first.select("line_key", "first"), occurrences), "near-lines")
     deciding = first.join(near, "line_key", "left").where("n > 1 or near is not null").select("line_key", F.least("first", "near").alias("earliest"))
     dropped = (
         occurrences.select("doc_id", "__h", "no", "line_key").join(deciding, "line_key").where(position > F.col("earliest"))
         .groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__g")).agg(F.collect_set("no").alias("__gone"))
     )
     joined = rows.join(dropped, (F.col("__h") == F.col("__g")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")), "left")
-    split = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    joined = joined.withColumn("__lines", F.split(F.col("text"), "\n", -1))
+    # Hash sets of line numbers: linear in the lines of a text, however many are dropped.
+    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
+    kept = F.array_join(F.transform(stays, lambda i: F.col("__lines")[i]), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
     )
 
 
@@ -127,11 +144,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with d as (select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end ls from documents),
-l as (select doc_id, no, ls[no] line from d, unnest(range(1, len(ls) + 1)) x(no) where length(ls[no]) >= 24),
+l as (select doc_id, no, ls[no] line from d, unnest(range(1, len(ls) + 1)) x(no) where trim(translate(ls[no], chr(13) || chr(9), '  ')) <> ''),
 f as (select line, length(line) n, min((doc_id, no)) pos from l group by line),
 -- one edit leaves the first or the second half of the shorter line as it is
 k as (select line, pos, n, s, h, case when h = 0 then substr(line, 1, (s // 2)::int) else right(line, (s - s // 2)::int) end part
-      from f, (values (0), (1)) a(h), lateral (select n s union all select n - 1)),
+      from f, (values (0), (1)) a(h), lateral (select n s union all select n - 1) where n >= 24),
 p as (select distinct a.line, b.pos from k a join k b on a.s = b.s and a.h = b.h and a.part = b.part and b.pos < a.pos and abs(a.n - b.n) <= 1
       where a.line <> b.line and levenshtein(a.line, b.line) <= 1),
 e as (select f.line, least(f.pos, coalesce(min(p.pos), f.pos)) pos from f left join p using (line) group by f.line, f.pos),

@@ -44,19 +44,21 @@ def near(a, b):
 
 def kept_lines(docs, min_chars=24):
     """{doc_id: text} with repeated lines dropped, of (doc_id, text) rows with distinct ids."""
-    seen, out = [], {}
+    exact, seen, out = set(), [], {}
     for i, t in sorted(docs, key=lambda r: r[0]):
         if t is None:
             out[i] = None
             continue
         kept = []
         for line in t.split("\n"):
-            if len(line) >= min_chars:
-                if not any(near(line, s) for s in seen):
-                    kept.append(line)
-                seen.append(line)
-            else:
+            if not line.strip(" \r\t"):
+                kept.append(line)
+                continue
+            if line not in exact and not (len(line) >= min_chars and any(len(s) >= min_chars and near(line, s) for s in seen)):
                 kept.append(line)
+            if line not in exact:
+                exact.add(line)
+                seen.append(line)
         out[i] = "\n".join(kept)
     return out
 

@@ -130,7 +130,7 @@ def test_lines_odd_rows(spark):
 
 def test_exact_repeats_of_short_lines_are_dropped(spark):
     rows = [(1, "Les.\n\nå\nmore"), (2, "Les.\n\nother\nLes."), (3, "Les!\n \t\nå\n\r"), (4, "more")]
-    got = {r["doc_id"]: (r["text"], r["__n_dropped"]) for r in line_dedup.dedup_lines(clashing(spark, rows), short_repeats=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["__n_dropped"]) for r in line_dedup.dedup_lines(clashing(spark, rows)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\nother", 2), 3: ("Les!\n \t\n\r", 1), 4: ("", 1)}
 
 
