@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -225,10 +226,56 @@ def test_pairs_of_terms_are_learned():
     assert right >= 135
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_terms_that_matter_only_together_are_learned(seed):
+    """Toxic if one of two words is there but not both: neither goes with the label by itself. The same model without its
+    factors does no better than chance on held-out texts."""
+    import numpy as np
+
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(800):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        t = [f"word{rng.choice('abcdefghijklmnopqrst')}{rng.choice('xyz')}" for _ in range(30)] + ["insultword"] * a + ["groupword"] * b
+        rng.shuffle(t)
+        rows.append((" ".join(t), int(a != b)))
+    model = toxicity.fit([(toxicity.segments(t), y) for t, y in rows[:600]], epochs=25)
+    right = lambda m: sum((m.score(t) >= 0.5) == bool(y) for t, y in rows[600:])
+    additive = toxicity.Model(model.bias, model.linear, np.zeros_like(model.factors))
+    assert right(model) >= 190 and right(additive) <= 130
+
+
+def test_words_near_each_other_share_a_segment():
+    t = [f"x{'abcdefghij'[i % 10]}" for i in range(1700)]
+    for at in range(0, 1500, 37):
+        said = " ".join([*t[:at], "insultword", *t[at : at + 150], "groupword", *t[at + 150 :]])
+        pair = {i for w in ("insultword", "groupword") for i in toxicity._terms[w]}
+        assert any(pair <= set(s.tolist()) for s in toxicity.segments(said))
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels of the fixture that the model has not seen."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are absent")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.classify(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 50, f"text {i}") for i in range(400)] + [(51, "long " * 4000), (52, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    got = toxicity.training_sample(spark.createDataFrame(rows, DOCS), labels, 20).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 20 and all(len(r["text"]) <= toxicity.SAMPLE_CHARS for r in got)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
     rows = [(1, "vile words"), (2, "kind words"), (2, "kind words"), (None, "x"), (4, None), (5, "")]
-    out = toxicity.classify(clashing(spark, rows), labels).collect()
+    out = toxicity.classify(clashing(spark, rows).withColumn("__tox_score", F.lit("clash")), labels).collect()
     assert len(out) == 6 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
     assert len({r["score"] for r in out if r["doc_id"] in (4, 5)}) == 1
     assert toxicity.classify(spark.createDataFrame([], DOCS), labels).collect() == []
