@@ -1,39 +1,75 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components by contraction.
+
+Each task contracts its edges to a forest and names every node's root there. A node that tasks name differently joins its
+roots, and only those links go on to the next level. A node has at most one row a task, so a hub with any number of edges
+is never one task's group. Names must be spread like hashes: then each level leaves a fraction of the nodes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-MAX_ROUNDS = 60
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Neighbours are joined to the least one by aggregation, without a list of neighbours in memory."""
-    if large:
-        arcs = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        arcs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = arcs.join(least, "u")
-    if large:
-        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long). node, component: the least node that each node with an edge reaches. Only counts reach the driver."""
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = materialise(_star(_star(now, True), False), "cc")
-        digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest == before:
-            nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return nodes.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = digest
-    raise RuntimeError("components did not settle")
+from .common import Scratch, merge_join
+
+MAX_LEVELS = 100
+#: Edges that a task contracts at a time.
+TASK_EDGES = 1_000_000
+
+
+def _forest(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """node, root: every node of the edges, with the least node that it reaches over them."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for b in edges:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, b_ = root(u), root(v)
+            if a != b_:
+                parent[max(a, b_)] = min(a, b_)
+    nodes = list(parent)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= TASK_EDGES:
+                yield _forest(held)
+                held, n = [], 0
+        if held:
+            yield _forest(held)
+
+    return edges.select("u", "v").mapInArrow(run, "node bigint, root bigint")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges: u, v (long). node, component: one node of the component, the same for all nodes that reach each other; every
+    node that has an edge to another one. Only counts reach the driver."""
+    edges, levels = edges.where("u <> v"), []
+    while True:
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError("components did not settle")
+        least = F.min("root").over(W.partitionBy("node"))  # rows of a node: one a task
+        roots = scratch.write(_contracted(edges).withColumn("least", least), f"cc{len(levels)}")
+        levels.append(roots.select("node", F.col("least").alias("component")).distinct())
+        edges = roots.where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct()
+        if edges.isEmpty():
+            break
+    out = levels.pop()
+    while levels:
+        above = out.select(F.col("node").alias("component"), F.col("component").alias("__top"))
+        below = levels.pop()
+        out = merge_join(below, above, "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
+    return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, spread, table
+from .common import Scratch, materialise, merge_join, spread, table
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -106,18 +106,22 @@ def estimate(more: np.ndarray, less: np.ndarray, nu: np.ndarray, nv: np.ndarray)
     return (low + high) / 2
 
 
+def _named(s: np.ndarray) -> int:
+    """Name of a set: 64 bits of a hash of its shingles."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest (of the whole set, 16 bytes), sketch, bands (hash of each band); sketch and bands are empty for an
-    empty set."""
+    """doc_id, n, node (name of the set), sketch, bands (hash of each band); sketch and bands are empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = _Words(), np.empty((M, CHUNK), np.uint64)
         for b in batches:
-            n, digest, sketch, bands = [], [], [], []
+            n, node, sketch, bands = [], [], [], []
             for t in b.column(1):  # one text at a time in Python
                 s = shingles(t.as_py(), k, seen)
                 n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                node.append(_named(s))
                 if not len(s):
                     sketch.append(b"")
                     bands.append([])
@@ -126,11 +130,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sketch.append(r.tobytes())
                 bands.append([xxhash.xxh3_64_intdigest(r[i * ROWS : i * ROWS + ROWS].tobytes(), i) - 2**63 for i in range(BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "sketch", "bands"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n", "node", "sketch", "bands"],
             )
 
-    return spread(docs).mapInArrow(run, "doc_id bigint, n bigint, digest binary, sketch binary, bands array<bigint>")
+    return spread(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch binary, bands array<bigint>")
 
 
 def _estimated(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def _estimated(pairs: DataFrame, known: DataFrame) -> DataFrame:
         v = np.frombuffer(b"".join(sx), np.uint16).reshape(len(sx), M)
         return pd.Series(estimate((u > v).sum(axis=1), (u < v).sum(axis=1), nc.to_numpy(float), nx.to_numpy(float)))
 
-    joined = pairs.join(a, "c").join(b, "x")
+    joined = merge_join(merge_join(pairs, a, "c"), b, "x")
     return joined.withColumn("est", est("sc", "sx", "nc", "nx")).drop("sc", "sx")
 
 
@@ -154,7 +158,7 @@ def _rest(rows: DataFrame, known: DataFrame) -> DataFrame:
     """c, x of bands of at most SMALL_BAND nodes, centre by centre inside a task. A task holds about TASK_ROWS rows of many
     bands; likeness to a centre is the share of equal registers."""
     parts = max(1, -(-rows.count() // TASK_ROWS))
-    dealt = rows.join(known.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("band"), F.lit(parts)))
+    dealt = merge_join(rows, known.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("band"), F.lit(parts)))
 
     def run(t: pa.Table) -> pa.Table:
         nodes, node = np.unique(t.column("node").to_numpy(), return_inverse=True)
@@ -181,7 +185,7 @@ def _rest(rows: DataFrame, known: DataFrame) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "c bigint, x bigint")
 
 
-def canopies(rows: DataFrame, known: DataFrame) -> DataFrame:
+def canopies(rows: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """rows: band, node, of bands with several nodes. Returns c, x, nc, nx, est: every node x that shares a band with centre c.
 
     In each band the least node is the centre; nodes estimated INNER or more alike are done with this band, the others
@@ -191,18 +195,18 @@ def canopies(rows: DataFrame, known: DataFrame) -> DataFrame:
     parts = []
     for i in range(MAX_ROUNDS):
         centres = rows.groupBy("band").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c <> last").select("band", "c")
-        met = rows.join(centres, "band").where("node <> c").withColumnRenamed("node", "x")
-        pairs = materialise(_estimated(met.select("c", "x").distinct(), known), f"canopy{i}").select("c", "x", "nc", "nx", "est")
+        met = merge_join(rows, centres, "band").where("node <> c").withColumnRenamed("node", "x")
+        pairs = scratch.write(_estimated(met.select("c", "x").distinct(), known), f"canopy{i}").select("c", "x", "nc", "nx", "est")
         parts.append(pairs)
         far = pairs.where(F.col("est") < INNER).select("c", "x")
-        rows = met.join(far, ["c", "x"], "left_semi").select("band", F.col("x").alias("node"))
+        rows = merge_join(met, far, ["c", "x"], "left_semi").select("band", F.col("x").alias("node"))
         several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = materialise(rows.join(several, "band"), f"band-rest{i}")
+        rows = scratch.write(merge_join(rows, several, "band"), f"band-rest{i}")
         large = rows.agg(F.max("n")).first()[0]
         if large is None:
             break
         if large <= SMALL_BAND:
-            parts.append(materialise(_estimated(_rest(rows, known).distinct(), known), "canopy-rest").select("c", "x", "nc", "nx", "est"))
+            parts.append(scratch.write(_estimated(_rest(rows, known).distinct(), known), "canopy-rest").select("c", "x", "nc", "nx", "est"))
             break
         rows = rows.drop("n")
     else:
@@ -250,27 +254,27 @@ def forest(a: list[np.ndarray], b: list[np.ndarray] | None, ids_a: list[int], id
     return out
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, s (sorted shingle hashes as bytes) of the documents that stand for the nodes: doc_id and digest must agree."""
+def _sets(docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """node, s (sorted shingle hashes as bytes), of one document of each node (first: doc_id, node): the set's name must agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         for b in batches:
             kept, out = [], []
-            for i, (t, d) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                s = shingles(t.as_py(), k, seen).tobytes()
-                if xxhash.xxh3_128_digest(s) == d.as_py():
+            for i, (t, node) in enumerate(zip(b.column(0), b.column(1), strict=True)):
+                s = shingles(t.as_py(), k, seen)
+                if _named(s) == node.as_py():
                     kept.append(i)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.binary())], ["node", "s"])
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(kept, pa.int64())), pa.array(out, pa.binary())], ["node", "s"])
 
-    found = docs.join(nodes.select(F.col("node").alias("doc_id"), "digest"), "doc_id").select("doc_id", "text", "digest")
+    found = merge_join(docs, first, "doc_id").select("text", "node")
     return spread(found).mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs (c, x) whose sets share at least percent of their union, counted exactly."""
-    joined = pairs.join(sets.select(F.col("node").alias("c"), F.col("s").alias("a")), "c").join(sets.select(F.col("node").alias("x"), F.col("s").alias("b")), "x")
+    joined = merge_join(merge_join(pairs, sets.select(F.col("node").alias("c"), F.col("s").alias("a")), "c"), sets.select(F.col("node").alias("x"), F.col("s").alias("b")), "x")
 
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -285,20 +289,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(canopy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: spanning forests of the links inside canopies (c, x, main), by pairs of blocks. Blocks of nodes already joined to
-    their centre (main) are not held against each other."""
-    sizes = canopy.groupBy("c").agg(F.count(F.when(F.col("main"), 1)).alias("n_main"), F.count(F.when(~F.col("main"), 1)).alias("n_other"))
-    dealt = canopy.join(sizes, "c")
+    """u, v: spanning forests of the links inside canopies (c, x, main, n_main, n_other), by pairs of blocks. Blocks of nodes
+    already joined to their centre (main) are not held against each other."""
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     nm, no = blocks("n_main"), blocks("n_other")
     h = F.xxhash64("c", "x")
     own = F.when(F.col("main"), F.pmod(h, nm)).otherwise(nm + F.pmod(h, no)).cast("int")
     # Others meet every block, mains only the others' blocks.
     partner = F.when(F.col("main"), F.sequence(nm, nm + no - 1)).otherwise(F.sequence(F.lit(0), nm + no - 1))
-    met = dealt.withColumn("own", own).withColumn("partner", F.explode(partner)).select(
+    met = canopy.withColumn("own", own).withColumn("partner", F.explode(partner)).select(
         "c", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), F.col("own"), F.col("x").alias("node")
     )
-    joined = met.join(sets, "node").select("c", "i", "j", "own", "node", "s")
+    joined = merge_join(met, sets, "node").select("c", "i", "j", "own", "node", "s")
 
     def run(t: pa.Table) -> pa.Table:
         i, own, nodes, s = (t.column(c).to_pylist() for c in ("i", "own", "node", "s"))
@@ -315,57 +317,78 @@ def _blocks(canopy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.groupBy("c", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
+def _undecided(shapes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """c, x, main, n_main, n_other of canopies (their centres included) whose members can still be linked: two components or
+    more and two members beside the centre. main: of the centre's component. Counts are written before they are joined
+    to the rows, so that the rows of a large canopy can be split."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    placed = shapes.select("c", "x").unionAll(shapes.select("c", F.col("c").alias("x")).distinct())
+    placed = merge_join(merge_join(placed, label("x"), "x", "left"), label("c"), "c", "left")
+    main = F.coalesce("of_x", "x") == F.coalesce("of_c", "c")
+    placed = scratch.write(placed.select("c", "x", main.alias("main")), "placed")
+    counts = placed.groupBy("c").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_other"))
+    counts = scratch.write(counts.where("n_other > 0 and n_main + n_other >= 3"), "open-canopies")
+    return merge_join(placed, counts, "c")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
-    Documents of the same set of shingles are one node, named by their smallest doc_id. Rows that share a doc_id are one
-    document: they are linked with each other. Null and empty texts, and texts of white space, have an empty set and are
-    linked with nothing. A null doc_id takes no part: its component_id is null and it is kept. Extra columns are not
-    carried. Ties do not arise: components and their smallest ids do not depend on order. A link is missed only if no band
-    agrees: at 80 % with a chance of 3 in a million.
+    Documents of the same set of shingles are one node, named by 64 bits of a hash of the set (of ten thousand million
+    different sets, two or three pairs would share a name). Rows that share a doc_id are one document, whatever their texts:
+    all their nodes are linked with each other. Null and empty texts, and texts of white space, have an empty set and are
+    linked with nothing. A null doc_id takes no part: its component_id is null and it is kept. Texts of any length are read
+    whole; an empty table gives an empty result. Extra columns are not carried. Ties do not arise: components and their
+    smallest ids do not depend on order. A link is missed only if no band agrees, at 80 % with a chance of 3 in a million, or
+    if no other member of its canopy is compared and the estimate is SIGMAS deviations off, which is as rare.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-dedup")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(sketches(slim, shingle_words), "sketches")
+    sketched = scratch.write(sketches(slim, shingle_words), "sketches")
     live = sketched.where("doc_id is not null and n > 0")
     # Sets: copies collapse before anything is compared.
-    classes = materialise(live.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "set-classes")
-    member = live.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+    classes = scratch.write(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "set-classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("band")
-    rows = materialise(rows.join(several, "band", "left_semi"), "bands")
-    nodes = materialise(rows.select("node").distinct().join(classes.select("node", "n", "sketch", "digest"), "node").dropDuplicates(["node", "digest"]), "band-nodes")
-    known = nodes.dropDuplicates(["node"])
-    shapes = materialise(canopies(rows, known), "canopies")
-    sets = materialise(_sets(slim, nodes, shingle_words), "sets")
+    rows = scratch.write(merge_join(rows, several, "band", "left_semi"), "bands")
+    known = scratch.write(merge_join(classes.select("node", "n", "sketch", "doc_id"), rows.select("node").distinct(), "node", "left_semi"), "band-nodes")
+    shapes = scratch.write(canopies(rows, known, scratch), "canopies")
+    sets = scratch.write(_sets(slim, known.select("doc_id", "node"), shingle_words), "sets")
     j = percent / 100
     trusted = j - SIGMAS * (j * (1 - j) / M) ** 0.5
     fits = F.least("nc", "nx") * 100 >= F.greatest("nc", "nx") * percent
-    links = materialise(_verified(shapes.where(fits & (F.col("est") >= trusted)).select("c", "x"), sets, percent), "links")
-    labels = materialise(components(links), "labels")
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    placed = shapes.select("c", "x").unionAll(shapes.select("c", F.col("c").alias("x")).distinct()).join(label("x"), "x", "left").join(label("c"), "c", "left")
-    placed = placed.select("c", "x", F.coalesce("of_x", "x").alias("of_x"), F.coalesce("of_c", "c").alias("of_c"))
-    # Pairs with the centre are decided; a canopy with two undecided components or members beside it goes on.
-    open_ = placed.where("of_x <> of_c").select("c").distinct()
-    wide = placed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("c")
-    undecided = placed.join(open_, "c", "left_semi").join(wide, "c", "left_semi").where("x <> c or of_x = of_c").select("c", "x", (F.col("of_x") == F.col("of_c")).alias("main"))
-    more = materialise(_blocks(undecided, sets, percent), "block-links")
-    own = member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    # Copies are already named by their least id; an edge to it only matters where an id stands in several classes.
-    repeated = own.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("u")
-    crossing = own.join(repeated, "u", "left_semi").unionAll(
-        own.join(classes.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
-    )
-    whole = components(links.unionAll(more).unionAll(crossing))
-    final = member.join(whole.select("node", "component"), "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
+    links = scratch.write(_verified(shapes.where(fits & (F.col("est") >= trusted)).select("c", "x"), sets, percent), "links")
+    labels = scratch.write(components(links, scratch), "labels")
+    # Pairs with the centre are decided; a canopy with two undecided components goes on.
+    more = scratch.write(_blocks(_undecided(shapes, labels, scratch), sets, percent), "block-links")
+    by_id = live.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    crossing = merge_join(live.select("doc_id", F.col("node").alias("u")), by_id, "doc_id").select("u", F.col("a").alias("v"))
+    whole = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more).unionAll(crossing), scratch)
+    joined = scratch.write(merge_join(whole, classes.select("node", "doc_id"), "node"), "joined")
+    least = scratch.write(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    joined = merge_join(joined, least, "component").select("node", "component_id")
+    named = scratch.write(merge_join(classes.select("node", "doc_id"), joined, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
+    out = merge_join(sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")), named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # A repeated id can stand once with a text and once without: its component is then that of its texts.
+    out = materialise(out.select("doc_id", "n_shingles", component.alias("component_id")), "near-duplicates")
+    scratch.clear()
+    return _one_component(out)
+
+
+def _one_component(out: DataFrame) -> DataFrame:
+    own = out.where("doc_id is not null and component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("__c"))
+    # Only ids that stand with an empty set need it; all other rows of an id agree.
+    empty = out.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    mended = merge_join(out, merge_join(own, empty, "doc_id"), "doc_id", "left")
+    component = F.coalesce("__c", "component_id")
+    return mended.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept, with their columns: of each component the document with the smallest id. Rows that
-    repeat a kept id stay together."""
+    repeat a kept id stay together; see near_duplicates() for the defined results."""
     gone = near_duplicates(docs, shingle_words, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

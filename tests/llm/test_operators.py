@@ -68,6 +68,37 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch, small_band):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(rows)
 
 
+def test_rows_that_share_an_id_link_all_their_texts(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(0, 120, 20):
+        a, b = words(rng, 60, 9000), words(rng, 60, 9000)
+        near_a, near_b = [*a[:-1], "x"], [*b[:-1], "y"]
+        rows += [(k + 5, " ".join(a)), (k + 5, " ".join(b)), (k + 9, " ".join(near_a)), (k + 10, " ".join(near_b)), (k + 5, None)]
+        want |= {k + 5: k + 5, k + 9: k + 5, k + 10: k + 5}
+    rows += [(200, None), (200, rows[0][1])]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {*want.items(), (200, 5)}
+
+
+def test_components_of_paths_and_hubs(spark, monkeypatch):
+    from fluxarchive.llm import components
+
+    rng = random.Random(2)
+    names = [rng.randrange(-(2**62), 2**62) for _ in range(600)]
+    edges = [(names[i], names[i + 1]) for i in range(200)] + [(names[300], names[i]) for i in range(301, 500)] + [(names[599], names[599])]
+    rng.shuffle(edges)
+    monkeypatch.setattr(components, "TASK_EDGES", 1)
+    scratch = common.Scratch(spark, "test")
+    got = components.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(7), scratch).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == sorted([sorted(names[:201]), sorted(names[300:500])]) and len(got) == 401
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint"), scratch).collect() == []
+    scratch.clear()
+
+
 def test_near_duplicates_odd_rows(spark):
     empty = near_dedup.near_duplicates(spark.createDataFrame([], DOCS))
     assert empty.collect() == []
