@@ -1,36 +1,40 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is sharded by document: each row stores the postings (term, position) of one document, for the terms of the
-benchmark. Corpus counts from the index rank the terms; each window of an item is represented by its rarest ones. Position
-lists of an item's rare terms are intersected after moving each by its term's offset in the item: what meets is a diagonal
-on which document and item may agree, and the phrase is compared word by word on it. Since a document's lists stand in one
-row, matching shuffles nothing.
+The index holds, for every term of the benchmark, its postings: lists of documents and positions, one list for each term and
+shard of documents. List lengths rank the terms by the whole corpus. Each window of a benchmark item is asked for by its
+rarest terms: their lists are joined by term and moved by the term's offset in the item, and where the lists of a window
+meet on one diagonal, document and item may agree. There the phrase is compared word by word. Where lists meet within a
+band of diagonals the passage is near. Neither items nor words of the benchmark pass through the driver, but for a bitmap
+of bounded size that tells which words are worth a posting.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, spread, table
+from .common import Scratch, ascii_lower, materialise, merge_join, spread, table
 
 WINDOW = 10
-#: Each possible window holds at least so many anchors; lists are intersected until so many agree.
+#: Each possible window holds at least so many anchors, or all its words; the lists of two are intersected.
 ANCHORS = 2
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes 0-9, a-z and those of other characters stand, A-Z become a-z, all else divides words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Terms that a task holds to tell the benchmark's words; a larger vocabulary is not sent, and all words are indexed.
-MAX_VOCABULARY = 2_000_000
-#: Words of items that a task holds at a time; a larger benchmark is matched in blocks.
-ITEM_BLOCK = 2_000_000
+#: Windows of an item that are asked for together; a longer item is several chunks, which overlap by a window.
+CHUNK = 4096
+#: Bits of the bitmap for each term of the benchmark, and at most. Words that pass by chance cost a posting and match nothing.
+BITS_A_TERM, MAX_BITS = 64, 1 << 27
+SLOP = 6
+#: Share of a chunk's anchors that stand near each other in a near passage.
+NEAR_SHARE = 0.6
+WORDS_HELD = 1_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,224 +49,218 @@ def term_id(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_key (long), item_id, terms: items with words and an id; repeated rows once."""
-    w = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+def chunks_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """chunk (long), item_id (string), size (words of its windows), terms: items with words and an id, repeated rows once, cut
+    into chunks so that each window lies in one."""
+    known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
 
-    @F.arrow_udf("array<bigint>")
-    def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([[term_id(x) for x in tokens(t)] for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-    w = w.select("item_id", ids("text").alias("terms")).where("size(terms) > 0").distinct()
-    return w.withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "terms"))
-
-
-def build_index(docs: DataFrame, vocabulary: set[int] | None) -> DataFrame:
-    """doc_id, text_hash, n_words, terms, pos: the postings of each document, in the order of positions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [term_id(w) for w in tokens(text)]
+                size = min(window, len(found))
+                starts = range(0, len(found) - size + 1, CHUNK) if found else []
+                for s in starts:
+                    key = xxhash.xxh3_64_intdigest(repr((item, text, s)).encode("utf-8", "surrogatepass")) - 2**63
+                    columns = pa.array([key], pa.int64()), pa.array([item], pa.string()), pa.array([size], pa.int32()), pa.array([found[s : s + CHUNK + size - 1]], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(list(columns), ["chunk", "item_id", "size", "terms"])
+
+    return known.mapInArrow(run, "chunk bigint, item_id string, size int, terms array<bigint>")
+
+
+def bitmap(chunks: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the benchmark's terms, and their number less one: a power of two that follows the number of terms, 16 MB at
+    most whatever the benchmark. The driver gets words of 64 bits, no more than the bitmap has."""
+    terms = chunks.select(F.explode("terms").alias("term")).distinct()
+    n = 1 << max(10, min(MAX_BITS.bit_length() - 1, (terms.count() * BITS_A_TERM).bit_length()))
+    bit = F.col("term").bitwiseAND(F.lit(n - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    found = terms.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(n // 64, np.int64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8), n - 1
+
+
+def build_index(docs: DataFrame, filled: np.ndarray, mask: int) -> DataFrame:
+    """Two kinds of rows. For each document: doc (hash of id and text), doc_id, text_hash, n_words. For each term of a shard
+    (an Arrow batch of documents): term, docs and pos, its postings in the order of documents and positions."""
+    sent = docs.sparkSession.sparkContext.broadcast((filled, mask))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, mask = sent.value
+        listed = lambda i: filled[(i & mask) >> 3] >> (i & 7) & 1
         seen: dict[bytes, int] = {}
+        names = ["doc", "doc_id", "text_hash", "n_words", "term", "docs", "pos"]
         for b in batches:
-            n, lengths, terms, pos = [], [0], [], []
-            for t in b.column(2).to_pylist():
-                found = tokens(t)
+            n, terms, pos = [], [], []
+            for t in b.column(3):  # one text at a time in Python
+                found = tokens(t.as_py())
                 for w in set(found):
                     if w not in seen:
                         i = term_id(w)
-                        seen[w] = i if vocabulary is None or i in vocabulary else 0
+                        seen[w] = i if listed(i) else 0
                 ids = np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
                 at = np.flatnonzero(ids)
                 n.append(len(found))
                 terms.append(ids[at])
                 pos.append(at.astype(np.int32))
-                lengths.append(lengths[-1] + len(at))
-                if len(seen) > 1_000_000:
+                if len(seen) > WORDS_HELD:
                     seen.clear()
-            offsets = pa.array(lengths, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, k), t)) for x, k, t in ((terms, np.int64, pa.int64()), (pos, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], ["doc_id", "text_hash", "n_words", "terms", "pos"])
+            k = len(n)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], names
+            )
+            if not k or not sum(map(len, terms)):
+                continue
+            every, of = np.concatenate(terms), np.repeat(np.arange(k), [len(x) for x in terms])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            offsets = pa.array(np.r_[starts, len(every)].astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, b.column(0).take(pa.array(of[order]))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pos)[order]))
+            m = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(every[starts]), *lists], names)
+
+    return spread(named(docs)).mapInArrow(run, "doc bigint, doc_id bigint, text_hash bigint, n_words bigint, term bigint, docs array<bigint>, pos array<int>")
+
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return spread(slim).mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, terms array<bigint>, pos array<int>")
+def named(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, text_hash, text. Rows of one id and text share doc: their results are the same."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def choose_anchors(counts: list[int], window: int, each: int = ANCHORS) -> list[int]:
-    """Positions so that each window without a count of 0 holds its `each` rarest ones, as far as windows can share them."""
-    n = len(counts)
-    size = min(window, n)
+def choose_anchors(counts: list[int], size: int, each: int = ANCHORS) -> list[int]:
+    """Positions so that each window of `size` words without a count of 0 holds its `each` rarest ones, as far as windows can
+    share them. One pass."""
+    missing = [i for i, c in enumerate(counts) if not c]
     chosen: list[int] = []
-    for s in range(n - size + 1):
-        inside = range(s, s + size)
-        if any(counts[i] == 0 for i in inside):
+    active: list[int] = []  # chosen ones that the window still holds
+    at = 0
+    for s in range(len(counts) - size + 1):
+        while at < len(missing) and missing[at] < s:
+            at += 1
+        if at < len(missing) and missing[at] < s + size:
             continue  # a word that the corpus lacks
-        lacks = min(each, size) - sum(s <= i for i in chosen)
+        active = [i for i in active if i >= s]
+        lacks = min(each, size) - len(active)
         if lacks > 0:
-            free = sorted((i for i in inside if i not in chosen), key=lambda i: (counts[i], -i))
-            chosen += free[:lacks]
-    return sorted(chosen)
-
-
-def with_anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """items, and anchors: the positions that represent each item."""
-    terms = items.select("item_key", F.posexplode("terms").alias("pos", "term")).join(counts, "term", "left")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        at = choose_anchors(pdf["n"].fillna(0).astype("int64").tolist(), window)
-        return pd.DataFrame({"item_key": [pdf["item_key"].iloc[0]], "anchors": [at]})
-
-    return items.join(terms.groupBy("item_key").applyInPandas(choose, "item_key bigint, anchors array<int>"), "item_key")
-
-
-def matches(at: dict[int, int], item: list[int], diagonal: int, window: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of the document (position to term) on which it agrees with the item for a whole window at least."""
-    size = min(window, len(item))
-    out, start = [], None
-    for i in range(len(item) + 1):
-        if i < len(item) and at.get(i + diagonal) == item[i]:
-            start = i if start is None else start
-        elif start is not None:
-            if i - start >= size:
-                out.append((start + diagonal, i + diagonal))
-            start = None
-    return out
-
+            found = sorted((i for i in range(s, s + size) if i not in active), key=lambda i: (counts[i], -i))[:lacks]
+            active += found
+            chosen += found
+    return sorted(set(chosen))
+
+
+def with_anchors(chunks: DataFrame, lists: DataFrame) -> DataFrame:
+    """chunk, off, term, size, n_anchors: the positions that stand for each chunk's windows, by the lengths of the lists."""
+    counts = lists.groupBy("term").agg(F.sum(F.size("pos")).alias("n"))
+    terms = merge_join(chunks.select("chunk", "size", F.posexplode("terms").alias("off", "term")), counts, "term", "left")
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by("off")  # a chunk's words
+        size, terms = t.column("size")[0].as_py(), t.column("term").to_pylist()
+        at = choose_anchors([n or 0 for n in t.column("n").to_pylist()], size)
+        k = len(at)
+        columns = t.column("chunk").to_pylist()[:k], at, [terms[i] for i in at], [size] * k, [k] * k
+        kinds = pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("chunk", "off", "term", "size", "n_anchors"), columns, kinds, strict=True)})
+
+    return terms.groupBy("chunk").applyInArrow(choose, "chunk bigint, off int, term bigint, size int, n_anchors int")
+
+
+def intersected(met: DataFrame) -> DataFrame:
+    """chunk, doc, diagonal, lo, hi: where two anchors of a window, next to each other on a diagonal, both stand in the
+    document; lo and hi bound the windows that hold both. A diagonal has at most a chunk's anchors."""
+    before = F.lag("off").over(W.partitionBy("chunk", "doc", "diagonal").orderBy("off"))
+    before = F.when(F.col("size") == 1, F.col("off")).otherwise(before)
+    near = met.withColumn("before", before).where(F.col("off") - F.col("before") < F.col("size"))
+    return near.select("chunk", "doc", "diagonal", F.greatest(F.lit(0), F.col("off") - F.col("size") + 1).alias("lo"), (F.col("before") + F.col("size")).alias("hi"))
+
+
+def runs(item: np.ndarray, said: np.ndarray, at: int, size: int) -> list[tuple[int, int]]:
+    """Stretches [start, end) of the document on which it agrees with the item, laid at this place, for a window at least."""
+    lo, hi = max(0, -at), min(len(item), len(said) - at)
+    if hi - lo < size:
+        return []
+    same = np.r_[False, item[lo:hi] == said[lo + at : hi + at], False]
+    turns = np.flatnonzero(same[1:] != same[:-1])
+    return [(lo + at + a, lo + at + e) for a, e in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if e - a >= size]
+
+
+def confirmed(candidates: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """candidates: chunk, doc, diagonal, lo, hi. doc, n_hit, item_ids (sorted): phrases compared on the texts of the documents."""
+    phrase = F.slice("terms", F.col("lo") + 1, F.col("hi") - F.col("lo"))
+    asked = candidates.join(chunks.select("chunk", "item_id", "size", "terms"), "chunk").select("doc", F.struct((F.col("diagonal") + F.col("lo")).alias("at"), "item_id", "size", phrase.alias("phrase")).alias("x"))
+    asked = asked.groupBy("doc").agg(F.collect_list("x").alias("asked"))  # of one document: no more than its words have anchors
+    texts = named(docs).select("doc", "text").join(candidates.select("doc").distinct(), "doc").groupBy("doc").agg(F.first("text").alias("text"))
 
-class Matcher:
-    """A block of items, by the terms of their anchors."""
-
-    def __init__(self, rows: list[tuple[str, list[int], list[int]]], window: int):
-        self.items = [(name, terms) for name, terms, _ in rows]
-        self.window = window
-        self.need = [min(ANCHORS, window, len(terms)) for _, terms in self.items]
-        self.by_term: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, terms, anchors) in enumerate(rows):
-            for a in anchors:
-                self.by_term[terms[a]].append((k, a))
-        self.anchor_terms = np.array(sorted(self.by_term), np.int64)
-
-    def diagonals(self, terms: np.ndarray, pos: np.ndarray) -> Counter:
-        """(item, diagonal) to the number of offset-adjusted lists that meet there."""
-        met: Counter = Counter()
-        if not len(self.anchor_terms) or not len(terms):
-            return met
-        i = np.minimum(np.searchsorted(self.anchor_terms, terms), len(self.anchor_terms) - 1)
-        for k in np.flatnonzero(self.anchor_terms[i] == terms).tolist():
-            p = int(pos[k])
-            for item, a in self.by_term[int(terms[k])]:
-                met[item, p - a] += 1
-        return met
-
-    def hits(self, terms: np.ndarray, pos: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Runs of hit words, and the items that occur."""
-        runs, names, at = [], set(), None
-        for (item, diagonal), n in self.diagonals(terms, pos).items():
-            if n < self.need[item]:
-                continue
-            at = at if at is not None else dict(zip(pos.tolist(), terms.tolist(), strict=True))
-            if found := matches(at, self.items[item][1], diagonal, self.window):
-                runs += found
-                names.add(self.items[item][0])
-        return runs, names
-
-    def near(self, terms: np.ndarray, pos: np.ndarray, slop: int) -> dict[str, int]:
-        """For each item, the most anchor postings whose diagonals lie within slop of each other."""
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for (item, d), n in self.diagonals(terms, pos).items():
-            by_item[item] += [d] * n
-        out = {}
-        for item, ds in by_item.items():
-            ds.sort()
-            out[self.items[item][0]] = max(int(np.searchsorted(ds, d + slop, side="right")) - k for k, d in enumerate(ds))
-        return out
-
-
-def blocks_of(items: DataFrame, window: int) -> Iterator[Matcher]:
-    """Matchers of at most ITEM_BLOCK words each (or one longer item)."""
-    rows, held = [], 0
-    for r in items.where("size(anchors) > 0").orderBy("item_key").select(F.col("item_id").cast("string").alias("item_id"), "terms", "anchors").toLocalIterator():
-        if rows and held + len(r["terms"]) > ITEM_BLOCK:
-            yield Matcher(rows, window)
-            rows, held = [], 0
-        rows.append((r["item_id"], r["terms"], r["anchors"]))
-        held += len(r["terms"])
-    yield Matcher(rows, window)
-
-
-def _lists(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
-
-
-def find(index: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, item_ids (sorted strings) of every row of the index. Each block of items reads the
-    index once; runs of several blocks are united by document."""
-    spark = index.sparkSession
-    parts = []
-    for matcher in blocks_of(items, window):
-        sent = spark.sparkContext.broadcast(matcher)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                runs, names = [], []
-                for i in range(len(b)):
-                    found, held = sent.value.hits(_lists(b["terms"], i), _lists(b["pos"], i))
-                    runs.append(sorted({p for s, e in found for p in range(s, e)}))
-                    names.append(sorted(held))
-                columns = [b["doc_id"], b["text_hash"], b["n_words"], pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "hit", "item_ids"])
-
-        parts.append(index.mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, hit array<int>, item_ids array<string>"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        # Each block returns every row once; rows that repeat an id and a text come back as often as they are.
-        grouped = out.groupBy("doc_id", "text_hash", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.count(F.lit(1)).alias("__n"))
-        out = grouped.withColumn("__k", F.explode(F.sequence(F.lit(1), (F.col("__n") / len(parts)).cast("int")))).drop("__n", "__k")
-    return out.select("doc_id", "text_hash", "n_words", F.size("hit").cast("bigint").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
-
-
-def proximity(index: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:
-    """doc_id, text_hash, item_id, n_near: inexact passages, by the number of an item's rare terms that stand within slop words
-    of their places relative to each other."""
-    spark = index.sparkSession
-    out = None
-    for matcher in blocks_of(items, window):
-        sent = spark.sparkContext.broadcast(matcher)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(b["doc_id"][i].as_py(), b["text_hash"][i].as_py(), *kv) for i in range(len(b)) for kv in sent.value.near(_lists(b["terms"], i), _lists(b["pos"], i), slop).items()]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", "item_id", "n_near"])
-
-        part = index.mapInArrow(run, "doc_id bigint, text_hash bigint, item_id string, n_near int")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def index_corpus(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The stored index of docs, and the benchmark's items with their anchors."""
-    items = materialise(items_of(benchmark), "items")
-    vocabulary = items.select(F.explode("terms").alias("term")).distinct()
-    known = {r["term"] for r in vocabulary.toLocalIterator()} if vocabulary.count() <= MAX_VOCABULARY else None
-    index = materialise(build_index(docs, known), "postings")
-    postings = index.select(F.explode("terms").alias("term"))
-    counts = (postings if known is not None else postings.join(vocabulary, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return index, materialise(with_anchors(items, counts, window), "anchored-items")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits, names = [], []
+            for t, asked in zip(b.column(1), b.column(2), strict=True):
+                ids: dict[bytes, int] = {}
+                said = np.array([ids[w] if w in ids else ids.setdefault(w, term_id(w)) for w in tokens(t.as_py())], np.int64)
+                hit, held = np.zeros(len(said), bool), set()
+                for x in asked:  # one candidate at a time in Python
+                    for s, e in runs(x["phrase"].values.to_numpy(), said, x["at"].as_py(), x["size"].as_py()):
+                        hit[s:e] = True
+                        held.add(x["item_id"].as_py())
+                hits.append(int(hit.sum()))
+                names.append(sorted(held))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["doc", "n_hit", "item_ids"])
+
+    return merge_join(texts, asked, "doc").select("doc", "text", "asked").mapInArrow(run, "doc bigint, n_hit bigint, item_ids array<string>")
+
+
+class Index:
+    """The stored index of docs for one benchmark: documents, lists, chunks, anchors, and meetings of anchors and documents."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW):
+        self.docs = docs
+        self.scratch = Scratch(docs.sparkSession, "decontaminate")
+        self.chunks = self.scratch.write(chunks_of(benchmark, window), "chunks")
+        rows = self.scratch.write(build_index(docs, *bitmap(self.chunks)), "index")
+        self.documents = rows.where("term is null").select("doc", "doc_id", "text_hash", "n_words")
+        self.lists = rows.where("term is not null").select("term", "docs", "pos")
+        self.anchors = self.scratch.write(with_anchors(self.chunks, self.lists), "anchors")
+        # Spark broadcasts the anchors if their size allows it, else both sides go by term and large lists are split.
+        met = self.lists.join(self.anchors, "term").select("chunk", "off", "size", "n_anchors", F.explode(F.arrays_zip("docs", "pos")).alias("p"))
+        self.met = self.scratch.write(met.select("chunk", "off", "size", "n_anchors", F.col("p.docs").alias("doc"), (F.col("p.pos") - F.col("off")).alias("diagonal")), "meetings")
+
+    def phrases(self) -> DataFrame:
+        """doc_id, text_hash, n_words, n_hit, item_ids (sorted strings) of every row of docs."""
+        candidates = self.scratch.write(intersected(self.met), "candidates")
+        found = self.scratch.write(confirmed(candidates, self.chunks, self.docs), "phrases")
+        out = self.documents.join(found, "doc", "left")
+        return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+    def near(self, slop: int = SLOP) -> DataFrame:
+        """doc_id, text_hash, item_id, n_near: inexact passages, by the number of a chunk's anchors whose diagonals lie in a
+        band of twice slop (bands overlap by half): the words stand within slop of their places relative to each other. At
+        least NEAR_SHARE of the chunk's anchors, and more than a window needs, or all of them, must."""
+        band = F.floor(F.col("diagonal") / slop)
+        rows = self.met.select("chunk", "doc", "off", F.least(F.lit(ANCHORS), "size").alias("need"), "n_anchors", F.explode(F.array(band, band + 1)).alias("band")).distinct()
+        counted = rows.groupBy("chunk", "doc", "band").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("n_anchors").alias("n_anchors"))
+        enough = counted.where(F.col("n") >= F.greatest(F.least(F.col("need") + 1, "n_anchors"), F.ceil(F.col("n_anchors") * NEAR_SHARE)))
+        best = enough.join(self.chunks.select("chunk", "item_id"), "chunk").groupBy("doc", "item_id").agg(F.max("n").alias("n_near"))
+        return self.documents.join(best, "doc").select("doc_id", "text_hash", "item_id", "n_near")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_words, n_hit, item_ids (sorted strings), one row per row of docs.
 
     Null and empty texts have no words; items that are null, without words or without an id match nothing; repeated
-    documents and ids are judged row by row; extra columns are not carried.
+    documents and ids are judged row by row, repeated items once; texts and items of any length are read whole; an empty
+    table of documents gives an empty result, an empty benchmark no hits; extra columns are not carried.
     """
-    return find(*index_corpus(docs, benchmark, window), window)
+    index = Index(docs, benchmark, window)
+    out = materialise(index.phrases(), "contamination")
+    index.scratch.clear()
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, with their columns."""
+    """The rows of docs in which no window of the benchmark occurs, with their columns; see contamination()."""
     bad = materialise(contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
     same = (F.xxhash64(docs["text"]) == F.col("__h")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("__d"))
     return docs.join(bad, same, "left_anti")
@@ -276,6 +274,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inexact passages of the benchmark in all documents."""
+    return Index(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).near().drop("text_hash")
+
+
 OP9_SQL = r"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t from documents),
 i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t from benchmark),

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html_extract.op8_html,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_url_filter": url_filter.op10_url_filter,
+    "benchmark_proximity": decontaminate.benchmark_proximity,
 }
 
 ORACLES = {

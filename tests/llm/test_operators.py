@@ -459,8 +459,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     out = decontaminate.contamination(clashing(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()}
     assert got == brute.contaminated(docs, items)
-    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 30)
-    monkeypatch.setattr(decontaminate, "MAX_VOCABULARY", 0)
+    monkeypatch.setattr(decontaminate, "CHUNK", 4)
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 1 << 10)
+    monkeypatch.setattr(decontaminate, "BITS_A_TERM", 1)
     out = decontaminate.contamination(clashing(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()} == got
 
@@ -469,10 +470,50 @@ def test_proximity_finds_inexact_passages(spark):
     passage = " ".join(f"q{i}" for i in range(30))
     broken = " ".join(f"q{i}" + (" filler" if i % 7 == 3 else "") for i in range(30))
     docs = spark.createDataFrame([(1, passage), (2, broken), (3, " ".join(f"q{29 - i}" for i in range(30)))], DOCS)
-    index, items = decontaminate.index_corpus(docs, spark.createDataFrame([(7, passage)], "item_id bigint, text string"))
-    near = {r["doc_id"]: r["n_near"] for r in decontaminate.proximity(index, items, 10, 6).collect()}
-    assert near[1] == near[2] > near[3]
-    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.find(index, items, 10).collect()} == {1: 30, 2: 0, 3: 0}
+    index = decontaminate.Index(docs, spark.createDataFrame([(7, passage)], "item_id bigint, text string"))
+    near = {r["doc_id"]: r["n_near"] for r in index.near().collect()}
+    assert set(near) == {1, 2} and near[1] >= near[2]
+    assert {r["doc_id"]: r["n_hit"] for r in index.phrases().collect()} == {1: 30, 2: 0, 3: 0}
+
+
+def test_proximity_equals_a_plain_count(spark):
+    """Anchors of an item that stand in one band of diagonals in a document, counted over all pairs of positions."""
+    rng = random.Random(3)
+    items = {i: words(rng, 25, 200) for i in range(6)}
+    docs = []
+    for d in range(40):
+        t = words(rng, 60, 200)
+        item = items[rng.randrange(6)]
+        at = rng.randrange(50)
+        t[at:at] = [w for w in item for _ in range(1) if rng.random() < 0.9]
+        docs.append((d, " ".join(t)))
+    index = decontaminate.Index(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"))
+    anchors = {}
+    for r in index.anchors.join(index.chunks.select("chunk", "item_id"), "chunk").collect():
+        anchors.setdefault(r["item_id"], []).append((r["off"], r["term"], min(r["size"], decontaminate.ANCHORS)))
+    want = {}
+    for d, t in docs:
+        said = [decontaminate.term_id(w.encode()) for w in t.split()]
+        for item, rows in anchors.items():
+            bands = {}
+            for off, term, _ in rows:
+                for p, x in enumerate(said):
+                    if x == term:
+                        for b in ((p - off) // decontaminate.SLOP, (p - off) // decontaminate.SLOP + 1):
+                            bands.setdefault(b, set()).add(off)
+            n = max(map(len, bands.values()), default=0)
+            if n >= max(min(rows[0][2] + 1, len(rows)), math.ceil(len(rows) * decontaminate.NEAR_SHARE)):
+                want[d, item] = n
+    assert want and {(r["doc_id"], r["item_id"]): r["n_near"] for r in index.near().collect()} == want
+
+
+def test_long_items_and_documents(spark):
+    """An item of a million words, and a document that holds all of it."""
+    rng = random.Random(6)
+    item = [f"v{rng.randrange(50000)}" for _ in range(1_000_000)]
+    docs = [(1, " ".join(item)), (2, " ".join(item[500_000:500_012])), (3, " ".join(item[4090:4105])), (4, " ".join(item[7:16])), (5, "v1 v2 v3")]
+    out = decontaminate.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in out} == {1: (1_000_000, ["9"]), 2: (12, ["9"]), 3: (15, ["9"]), 4: (0, []), 5: (0, [])}
 
 
 def test_decontamination_odd_tables(spark):
