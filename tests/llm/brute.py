@@ -89,10 +89,10 @@ def contaminated(docs, items):
 def top_k(vectors, k=5, step=50):
     import math
 
-    rows = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    rows = [(i, [math.floor(256 * float(x)) if abs(x) < 1e300 else 256 * int(x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
     for q, a in rows:
         if q % step == 0:
             found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:k]
-            out[q] = [(i, -s) for s, i in found]
+            out[q] = [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in found]
     return out

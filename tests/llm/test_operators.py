@@ -180,18 +180,50 @@ def test_top_k_equals_brute_force(spark):
     assert got == brute.top_k(rows)
 
 
+def answers(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
 def test_top_k_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "STEP", 2)
     rng = random.Random(2)
-    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)], 1) for i in range(300)]
-    got = {}
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert got == brute.top_k([r[:2] for r in rows])
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)], 1, 2, 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int, rank int, x int")
+    assert answers(topk.top_k(df)) == brute.top_k([r[:2] for r in rows])
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
 
+def test_top_k_of_huge_and_equal_vectors(spark):
+    """Any finite component takes part; a third of the rows are one vector; ids repeat."""
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(0, 200)] + [(i, [0.25, 0.5, -1.0]) for i in range(200, 300)]
+    rows += [(1000, [1.0, 0.0, 0.0]), (1001, [2.0**56, 0.0, 0.0]), (1002, [2.0**56 + 2**5, 0.0, 0.0]), (1003, [-1e308, 1e308, 3.0]), (1050, [1e308, -1e308, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert answers(topk.top_k(df)) == brute.top_k(rows)
+    again = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (7, [-1.0, 1.0]), (8, [0.0, 0.0])]
+    got = answers(topk.top_k(spark.createDataFrame(again, "vec_id bigint, embedding array<double>")))
+    assert got == {50: [(7, 5 * 65536), (7, 5 * 65536), (7, 65536), (8, 0)]}
+
+
+def test_bounds_hold_every_score():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v, q = np.floor(rng.normal(0, 300, (500, 16))), np.floor(rng.normal(0, 300, (40, 16)))
+    v[7] *= 1e6
+    low, width = np.full(16, -500.0), np.full(16, 1000 / topk.CELLS)
+    codes = np.clip(np.floor((v - low) / width), 0, topk.CELLS - 1)
+    start = low + codes * width
+    excess = (np.maximum(start - v, 0) + np.maximum(v - start - width, 0)).sum(axis=1)
+    below, above = topk.bounds(codes, excess, q, low, width)
+    assert (below <= q @ v.T).all() and (q @ v.T <= above).all()
+
+
 # 4 secrets
 
 
