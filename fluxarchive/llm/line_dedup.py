@@ -126,14 +126,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__g")).agg(F.collect_set("no").alias("__gone"))
     )
     joined = rows.join(dropped, (F.col("__h") == F.col("__g")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")), "left")
-    joined = joined.withColumn("__lines", F.split(F.col("text"), "\n", -1))
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col("text"), "\n", -1)))
     # Hash sets of line numbers: linear in the lines of a text, however many are dropped.
     stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     kept = F.array_join(F.transform(stays, lambda i: F.col("__lines")[i]), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
     )
 
 
