@@ -464,13 +464,59 @@ def test_what_stands_beside_the_body_is_kept(spark, around, beside):
     body = "".join(f"<p>Paragraph {i} of the text, with some words.</p>" for i in range(20))
     inner = f'<h1>Title</h1><p class="lead">Lead.</p><div class="content">{body}</div><section><p>Last part.</p></section>'
     page = f"<html><body><nav><p>Menu</p></nav>{around.format(inner)}{beside}</body></html>"
-    got = html_extract.extract_with(html_extract.containers(page), None).split("\n")
+    got = html_extract.extract_with(*html_extract.containers(page), None).split("\n")
     assert got[:3] == ["Title", "Lead.", "Paragraph 0 of the text, with some words."] and got[-1] == "Last part." and len(got) == 23
     rows = [(i, "https://a.dk/x", page) for i in range(3)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert [r["text"].split("\n") for r in out] == [got] * 3
 
 
+def told(page):
+    return html_extract.extract_with(*html_extract.containers(page), None).split("\n")
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-policy", "search-algorithms", "share-prices", "alert-levels", "discussion", "commentary", "menu-of-the-day", "adverbs", "noticeable"])
+def test_sections_that_only_sound_like_furniture_stay(name):
+    page = f'<article><h1>Title</h1><p>{"word " * 60}</p><section class="{name}" id="{name}"><p>Kept part.</p></section><math><mi>x</mi><mo>=</mo></math></article>'
+    assert told(page)[2:] == ["Kept part.", "x="]
+
+
+@pytest.mark.parametrize("name", ["related-posts", "share-buttons", "cookie-notice", "comments", "comment-list", "ad", "ad-box-2", "sidebar", "site-footer", "newsletter-signup", "tags", "advertisement", "nav_bar", "popup"])
+def test_furniture_goes(name):
+    page = f'<article><h1>Title</h1><p>{"word " * 60}</p><div class="{name}"><p>Gone.</p></div><p>End.</p></article>'
+    assert told(page)[1:] == [("word " * 60).strip(), "End."]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_extraction_equals_what_pages_were_made_of(seed):
+    """Pages put together from blocks that belong to the article and blocks that do not."""
+    rng = random.Random(seed)
+    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    said = lambda n: " ".join(rng.choice(["a&b", "one", "two,", "x < y", "three.", "fjord"]) for _ in range(n))
+    want, inside = [], []
+    for _ in range(rng.randrange(8, 20)):
+        t = said(rng.randrange(5, 60))
+        kind = rng.choice(["p", "h2", "li", "quote", "div", "table", "junk"])
+        if kind == "junk":
+            inside.append(rng.choice(['<div class="share-buttons">Share</div>', "<script>var x='<p>';</script>", "<!-- <p>no</p> -->", '<form><label>Mail</label><input></form>', "<style>p{}</style>", '<aside>See also</aside>']))
+            continue
+        want.append(t)
+        inside.append({"p": "<p>{}</p>", "h2": "<h2>{}</h2>", "li": "<ul><li>{}</li></ul>", "quote": "<blockquote><p>{}</p></blockquote>", "div": '<div class="part"><p>{}</p></div>', "table": "<table><tr><td>{}</td></tr></table>"}[kind].format(esc(t)))
+    page = f'<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="wrap"><article class="post-{seed}"><header><h1>{esc(said(4))}</h1></header>{"".join(inside)}</article><div id="comments"><p>{esc(said(20))}</p></div></div><footer>&copy;</footer></body></html>'
+    assert told(page)[1:] == want
+
+
+def test_deep_and_broken_pages_cost_no_more_than_their_length():
+    import time
+
+    assert told("<p>a</p><!-- b") == told("<p>a</p><!-- b > c") == ["a"] and told("<p>a > b") == ["a > b"]
+    pages = ["<div>" * 60_000 + "x", "<div><p>a</p>" * 30_000, '<a href="' * 40_000, "<li>" * 60_000, "</b></div>" * 60_000, "<div class=menu><b>" * 30_000 + "</i>" * 30_000, "<td>x" * 40_000]
+    for p in pages:
+        began = time.process_time()
+        told(p)
+        assert time.process_time() - began < 6
+
+
 # 9 decontamination
 
 
