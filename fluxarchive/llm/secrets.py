@@ -8,7 +8,6 @@ access id, or with an endpoint.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
@@ -18,6 +17,7 @@ from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spread, table
 
@@ -118,15 +118,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, spans array of (kind, start, end, value), in the order of start
     and kind; offsets are code points, end exclusive.
 
-    Null and empty texts have no spans; repeated rows and null ids are scanned like others; extra columns are not
-    carried; whole texts are scanned in one pass that needs no shuffle.
+    Null and empty texts have no spans; repeated rows and null ids are scanned like others; spans that start together are
+    ordered by kind as listed, then by end; extra columns are not carried; whole texts of any length are scanned in one pass
+    that needs no shuffle; an empty table gives an empty result.
     """
     kind = "array<struct<kind string, start int, end int, value string>>".replace(" string", ":string").replace(" int", ":int")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"kind": k, "start": s, "end": e, "value": v} for s, e, k, v in _ordered(linked_spans(t))] if t else [] for t in b.column(1).to_pylist()]
+            found = [[{"kind": k, "start": s, "end": e, "value": v} for s, e, k, v in _ordered(linked_spans(t))] if t else [] for t in (x.as_py() for x in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, arrow)], ["doc_id", "spans"])
 
     docs = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
@@ -134,21 +135,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts and digests of the spans that scan() found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                said = [f"{x['kind']}:{x['start']}:{x['end']}" for x in spans]
-                base = [s for s, x in zip(said, spans, strict=True) if x["kind"] in BASE_KINDS]
-                n = Counter(x["kind"] for x in spans)
-                rows.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said)))
-            names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
-            kinds = (pa.int64(),) * 4 + (pa.string(),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], list(names))
-
-    return scanned.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    """Counts and digests of the spans that scan() found, in its own pass."""
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    return scanned.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
