@@ -10,27 +10,36 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import Scratch, table
 
 #: (verdict, rule); a rule is host + path and fits the host, its subdomains and all paths that start with its path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: First labels of registered names that the method blocks where no rule fits.
-BLOCKED_SITES = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
+# Words of host names by which the method blocks advertising, betting, adult, drug, malware and spam sites where no
+# rule fits.
+BLOCKED_WORDS = (
+    "ads", "adserver", "adult", "affiliate", "bet", "bets", "betting", "bitcoin", "casino", "casinos", "cialis", "clickbait", "crack", "cracked", "dating", "doubleclick", "escort", "escorts",
+    "gamble", "gambling", "hentai", "hookup", "jackpot", "keygen", "loan", "loans", "lottery", "malware", "nude", "payday", "phishing", "pills", "poker", "popads", "porn", "porno", "replica", "sex",
+    "slots", "spam", "spyware", "torrent", "torrents", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+)
 BITS_PER_KEY = 12
 HASHES = 4
 MAX_LEVELS = 60
-#: A filter's bits travel as a literal with each task; beyond this size the list has to be split.
-MAX_BITS = 64 * 1024 * 1024 * 8
+#: A filter's bits travel as a literal with each task. A longer list is cut into parts by hash, each with a cascade of its own,
+#: and the parts are asked one after the other.
+PART_BITS = 8 * 1024 * 1024 * 8
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
     """What follows the first :// up to /, ?, # or the end, with A-Z lower-cased; empty for null or without ://."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rest = F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"^(?s).*?://", ""))
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), upper, lower), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -89,75 +98,98 @@ class BloomCascade:
 
 def _encode(keys: DataFrame, level: int) -> Level:
     """keys: distinct, column key."""
-    n = keys.count()
-    n_bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-    if n_bits > MAX_BITS:
-        raise ValueError(f"a filter of {n_bits} bits is over MAX_BITS; split the list")
+    n_bits = max(64, -(-keys.count() * BITS_PER_KEY // 64) * 64)
     words = (
         keys.select(F.explode(_positions(F.col("key"), level, n_bits)).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-        .collect()  # bounded by MAX_BITS: it follows the list, not the corpus
+        .toArrow()  # about PART_BITS at most: it follows a part of the list, not the corpus
     )
-    filled = bytearray(n_bits // 8)
-    for r in words:
-        filled[8 * r["w"] : 8 * r["w"] + 8] = (r["bits"] & (2**64 - 1)).to_bytes(8, "little")
-    return Level(n_bits, bytes(filled))
+    filled = np.zeros(n_bits // 64, np.int64)
+    filled[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return Level(n_bits, filled.tobytes())
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> BloomCascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch) -> BloomCascade:
     """listed, universe: column key (string; nulls and repeats are ignored). An empty list gives an empty cascade, which
     contains nothing."""
-    inside = materialise(listed.select("key").where("key is not null").distinct(), "listed")
+    inside = scratch.write(listed.select("key").where("key is not null").distinct(), "listed")
     if inside.isEmpty():
         return BloomCascade([])
     levels = [_encode(inside, 1)]
     outside = universe.select("key").where("key is not null").where(levels[0].passes(F.col("key"), 1)).distinct()
     # Only building needs to know which of the few keys that pass are listed.
-    encode, other = materialise(outside.join(inside, "key", "left_anti"), "cascade1"), inside
+    encode, other = scratch.write(outside.join(inside, "key", "left_anti"), "cascade1"), inside
     while not encode.isEmpty():
         if len(levels) == MAX_LEVELS:
             raise ValueError("the cascade does not converge")
         k = len(levels) + 1
         levels.append(_encode(encode, k))
-        wrong = materialise(other.where(levels[-1].passes(F.col("key"), k)), f"cascade{k}")
+        wrong = scratch.write(other.where(levels[-1].passes(F.col("key"), k)), f"cascade{k}")
         encode, other = wrong, encode
     return BloomCascade(levels)
 
 
+def with_listed(rows: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows: keys (array<string>) and others. Adds listed_keys: those of the keys that the list holds, exactly. The list may have
+    any size: a plan holds the bits of one part of it only."""
+    parts = max(1, -(-listed.count() * BITS_PER_KEY // PART_BITS))
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    universe = rows.select(F.explode("keys").alias("key"))
+    out = rows.withColumn("listed_keys", F.array().cast("array<string>"))
+    for p in range(parts):
+        mine = lambda key: part(key) == p  # noqa: B023, E731
+        cascade = build_cascade(listed.where(mine(F.col("key"))), universe.where(mine(F.col("key"))), scratch)
+        out = out.withColumn("listed_keys", F.concat("listed_keys", F.filter("keys", lambda k: mine(k) & cascade.contains(k))))  # noqa: B023
+        if parts > 1:
+            out = scratch.write(out, f"part{p}")
+    return out
+
+
 def filter_urls(
     pages: DataFrame,
     spark: SparkSession,
     rules: Sequence[tuple[str, str]] = RULES,
-    blocked_sites: Sequence[str] = BLOCKED_SITES,
+    blocked_words: Sequence[str] = BLOCKED_WORDS,
+    blocked_hosts: DataFrame | None = None,
 ) -> DataFrame:
-    """Judge every row's url: page_id, host, path, rule, verdict, listed_site.
+    """Judge every row's url: page_id, host, path, rule, verdict, listed (what the list holds of the host, or null).
 
-    The longest rule that fits decides; else a host with a blocked site label is blocked, any other allowed. Null urls
-    and urls without :// have an empty host and path, no rule and the verdict allow. Repeated rows are judged alike;
+    The longest rule that fits decides; else a host with a blocked word (between dots and hyphens), or that is one of
+    blocked_hosts (column host: a table of any size) or below one, is blocked, any other allowed. Null urls and urls without
+    :// have an empty host and path, no rule and the verdict allow. Repeated rows are judged alike, urls of any length whole;
     other columns are not carried; an empty table gives an empty result.
     """
+    scratch = Scratch(spark, "url-filter")
     rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lengths = [len(r) - r.index("/") for _, r in rules] or [0]
-    keyed = rows.withColumn("keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>")))
-    keyed = keyed.withColumn("sites", F.transform(F.filter(F.split("host", r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("site:"), x)))
-    listed = spark.createDataFrame([(r,) for _, r in rules] + [(f"site:{s}",) for s in blocked_sites], "key string")
-    universe = keyed.select(F.explode(F.concat("keys", "sites")).alias("key"))
-    cascade = build_cascade(listed, universe)
-    hits = F.filter("keys", cascade.contains)
-    longest = F.aggregate(hits, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
-    out = keyed.withColumn("rule", longest).withColumn("listed_site", F.exists("sites", cascade.contains))
-    verdict = F.when(F.col("listed_site"), F.lit("block")).otherwise(F.lit("allow"))
+    empty = F.array().cast("array<string>")
+    said = F.filter(F.split("host", r"[.-]"), lambda x: x != "")
+    marked = lambda mark, names: F.transform(names, lambda x: F.concat(F.lit(mark), x))
+    labels = F.split("host", r"\.")
+    sites = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    every = [marked("rule:", candidate_keys(F.col("host"), F.col("path"), lengths)), marked("word:", said)]
+    every += [marked("host:", sites)] if blocked_hosts is not None else []
+    keyed = rows.withColumn("keys", F.when(F.col("host") != "", F.array_distinct(F.concat(*every))).otherwise(empty))
+    listed = spark.createDataFrame([(f"rule:{r}",) for _, r in rules] + [(f"word:{w}",) for w in blocked_words], "key string")
+    if blocked_hosts is not None:
+        listed = listed.unionAll(blocked_hosts.where("host <> ''").select(F.concat(F.lit("host:"), F.translate("host", UPPER, LOWER))))
+    out = with_listed(keyed, listed, scratch)
+    fits = F.filter("listed_keys", lambda k: F.startswith(k, F.lit("rule:")))
+    longest = F.aggregate(fits, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
+    others = F.filter("listed_keys", lambda k: ~F.startswith(k, F.lit("rule:")))
+    out = out.withColumn("rule", F.substring(longest, F.lit(6), F.length("host") + F.length("path"))).withColumn("listed", F.try_element_at(F.array_sort(others), F.lit(1)))
+    verdict = F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     for v, r in rules:
         verdict = F.when(F.col("rule") == r, F.lit(v)).otherwise(verdict)
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed_site")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), spark).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 with u as (select page_id, case when instr(url, '://') > 0 then regexp_replace(url, '^.*?://', '', 's') end rest from pages),
 h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
              coalesce(regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*'), '') path from u),
@@ -166,7 +198,7 @@ rules(rule, rhost, rpath, v) as (values ('net/', 'net', '/', 'block'), ('example
 f as (select page_id, host, path, rule, v from h join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)),
 b as (select page_id, host, path, arg_max(rule, length(rule)) rule, arg_max(v, length(rule)) v from f group by all)
 select h.page_id, h.host, h.path, b.rule,
-       coalesce(b.v, case when list_has_any(string_split(h.host, '.'), ['ads-track', 'free-bets', 'cheap-pills', 'spam-farm', 'casino-win', 'adult-x'])
+       coalesce(b.v, case when list_has_any(regexp_split_to_array(h.host, '[.-]'), {list(BLOCKED_WORDS)})
                           then 'block' else 'allow' end) verdict
 from h left join b on h.page_id is not distinct from b.page_id and h.host = b.host and h.path = b.path
 """

@@ -611,11 +611,12 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, many levels
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("xxhash64(key) % 9 = 0")
-    cascade = url_filter.build_cascade(listed, universe)
+    scratch = common.Scratch(spark, "test")
+    cascade = url_filter.build_cascade(listed, universe, scratch)
     assert len(cascade.levels) > 3
     got = universe.where(cascade.contains(F.col("key"))).exceptAll(listed).count() + listed.exceptAll(universe.where(cascade.contains(F.col("key")))).count()
     assert got == 0
-    assert universe.where(url_filter.build_cascade(listed.limit(0), universe).contains(F.col("key"))).count() == 0
+    assert universe.where(url_filter.build_cascade(listed.limit(0), universe, scratch).contains(F.col("key"))).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -633,5 +634,19 @@ def test_url_verdicts(spark, raw, want):
     assert [tuple(r) for r in got] == [want, want]
 
 
+@pytest.mark.parametrize("part_bits", [1 << 30, 600])
+def test_lists_of_any_size_are_exact(spark, monkeypatch, part_bits):
+    """A list of hosts, whole or in parts, against a plain set."""
+    monkeypatch.setattr(url_filter, "PART_BITS", part_bits)
+    rng = random.Random(3)
+    hosts = [f"{rng.choice('abcdef')}{i % 40}.{rng.choice(['org', 'dk', 'co.uk'])}" for i in range(400)]
+    blocked = set(hosts[:150])
+    rows = [(i, f"https://{rng.choice(['', 'www.', 'a.b.'])}{h.upper()}/x") for i, h in enumerate(hosts)] + [(900, None), (901, "x"), (902, "https:///p")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id bigint, url string, host string, keys string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, spark, rules=(), blocked_hosts=spark.createDataFrame([(h,) for h in [*blocked, None, ""]], "host string")).collect()}
+    assert got == {i: "block" if i < 900 and hosts[i] in blocked else "allow" for i, _ in rows}
+    assert url_filter.filter_urls(df.limit(0), spark).collect() == []
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
