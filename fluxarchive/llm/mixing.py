@@ -35,7 +35,8 @@ def quality(text: Column, size: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
     """sizes: mix_source, source_size. Adds target. Water filling in closed form: with sources ordered by size / weight,
-    a source is held at its cap if the level that the other sources would reach lies above it; one row per source."""
+    a source is held at its cap if the level that the other sources would reach lies above it. One row per source, all in one
+    task: meant for up to some ten million sources; documents never meet there."""
     order = W.orderBy(F.col("mix_source").asc_nulls_last())
     n = len(weights)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(n)) + 1).cast("int"))
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     Documents are taken whole in the order of -ln(u) / quality while the source's budget lasts; the one that crosses it
     gives only the words still missing, so a source's sum is its target rounded to a word. u comes from a hash of doc_id
     and seed: reruns agree, repeated ids share a key and go by size. Null or empty texts have size 0 and take 0; the null
-    source is a source of its own, last in order; a null doc_id counts as an id. Extra columns are not carried.
+    source is a source of its own, last in order; a null doc_id counts as an id. Texts of any length count whole; an empty
+    table gives an empty result. Extra columns are not carried.
     """
     size = word_count(F.col("text"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)

@@ -143,6 +143,8 @@ def with_listed(rows: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFra
         out = out.withColumn("listed_keys", F.concat("listed_keys", F.filter("keys", lambda k: mine(k) & cascade.contains(k))))  # noqa: B023
         if parts > 1:
             out = scratch.write(out, f"part{p}")
+    if parts == 1:
+        scratch.clear()  # the bits travel in the plan
     return out
 
 
