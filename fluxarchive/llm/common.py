@@ -53,6 +53,13 @@ def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(right.hint("merge"), on, how)
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """merge_join() with a table that was aggregated by the key, and so dealt by it already. A second key has both sides dealt
+    for the join, which lets Spark split a hot key's rows over tasks."""
+    again = F.xxhash64(key).alias("__again")
+    return merge_join(left.select("*", again), right.select("*", again), [key, "__again"], how).drop("__again")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

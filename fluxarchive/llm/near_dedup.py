@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialise, merge_join, spread, table
+from .common import Scratch, materialise, merge_join, split_join, spread, table
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -195,13 +195,13 @@ def canopies(rows: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     parts = []
     for i in range(MAX_ROUNDS):
         centres = rows.groupBy("band").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c <> last").select("band", "c")
-        met = merge_join(rows, centres, "band").where("node <> c").withColumnRenamed("node", "x")
+        met = split_join(rows, centres, "band").where("node <> c").withColumnRenamed("node", "x")
         pairs = scratch.write(_estimated(met.select("c", "x").distinct(), known), f"canopy{i}").select("c", "x", "nc", "nx", "est")
         parts.append(pairs)
         far = pairs.where(F.col("est") < INNER).select("c", "x")
         rows = merge_join(met, far, ["c", "x"], "left_semi").select("band", F.col("x").alias("node"))
         several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = scratch.write(merge_join(rows, several, "band"), f"band-rest{i}")
+        rows = scratch.write(split_join(rows, several, "band"), f"band-rest{i}")
         large = rows.agg(F.max("n")).first()[0]
         if large is None:
             break
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = PERC
     classes = scratch.write(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "set-classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("band")
-    rows = scratch.write(merge_join(rows, several, "band", "left_semi"), "bands")
+    rows = scratch.write(split_join(rows, several, "band", "left_semi"), "bands")
     known = scratch.write(merge_join(classes.select("node", "n", "sketch", "doc_id"), rows.select("node").distinct(), "node", "left_semi"), "band-nodes")
     shapes = scratch.write(canopies(rows, known, scratch), "canopies")
     sets = scratch.write(_sets(slim, known.select("doc_id", "node"), shingle_words), "sets")
