@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, materialise, merge_join, spread, table
+from .common import Scratch, ascii_lower, fresh, materialise, merge_join, spread, table
 
 WINDOW = 10
 #: Each possible window holds at least so many anchors, or all its words; the lists of two are intersected.
@@ -261,8 +261,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, with their columns; see contamination()."""
-    bad = materialise(contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
-    same = (F.xxhash64(docs["text"]) == F.col("__h")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("__d"))
+    d, h = fresh(docs, "__d"), fresh(docs, "__h")
+    bad = materialise(contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "contaminated")
+    same = (F.xxhash64(docs["text"]) == F.col(h)) & docs["doc_id"].cast("bigint").eqNullSafe(F.col(d))
     return docs.join(bad, same, "left_anti")
 
 

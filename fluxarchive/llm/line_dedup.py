@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import fresh, materialise, table
 
 #: Shorter lines (code points) are duplicates only of equal ones.
 MIN_CHARS = 24
@@ -108,11 +108,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Lines end at \\n. Of equal positions (rows that repeat an id and a text) none is earlier: they come out alike. Rows that
     share an id but not the text are ordered by a hash of the text; a null id comes first. Null texts stay null and have no
     lines, empty ones one empty line. A line or text of any length is compared whole; an empty table gives an empty result.
-    Other columns are carried as they are; where docs has n_chars it is not changed.
+    Other columns are carried as they are, whatever their names; where docs has n_chars it is not changed.
     """
-    rows = docs.withColumn("__h", F.xxhash64("text"))
+    d, h, gone, lines = (fresh(docs, name) for name in ("__d", "__h", "__gone", "__lines"))
     line = F.col("line")
-    all_lines = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "__h", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
+    all_lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("__h"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
     size = F.length(line)
     keyed = all_lines.where(said(line)).select("doc_id", "__h", "no", F.xxhash64(line).alias("line_key"), line)
     half_keys = F.when(size >= min_chars, _half_keys(line, size))
@@ -123,17 +123,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     deciding = first.join(near, "line_key", "left").where("n > 1 or near is not null").select("line_key", F.least("first", "near").alias("earliest"))
     dropped = (
         occurrences.select("doc_id", "__h", "no", "line_key").join(deciding, "line_key").where(position > F.col("earliest"))
-        .groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__g")).agg(F.collect_set("no").alias("__gone"))
+        .groupBy(F.col("doc_id").alias(d), F.col("__h").alias(h)).agg(F.collect_set("no").alias(gone))
     )
-    joined = rows.join(dropped, (F.col("__h") == F.col("__g")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")), "left")
-    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col("text"), "\n", -1)))
+    joined = docs.join(dropped, (F.xxhash64(docs["text"]) == F.col(h)) & docs["doc_id"].cast("bigint").eqNullSafe(F.col(d)), "left")
+    joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col("text"), "\n", -1)))
     # Hash sets of line numbers: linear in the lines of a text, however many are dropped.
-    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
-    kept = F.array_join(F.transform(stays, lambda i: F.col("__lines")[i]), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
+    kept = F.array_join(F.transform(stays, lambda i: F.col(lines)[i]), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("__n_dropped"),
     )
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, spread, table
+from .common import fresh, materialise, spread, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -220,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model(r["bias"], linear, factors)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and tox_score double. Null and empty texts get the score of a text without words."""
+def score_texts(docs: DataFrame, model: Model, name: str = "__tox_score") -> DataFrame:
+    """All columns of docs, and the score as a column of this name. Null and empty texts get the score of a text without words."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.bias, model.linear, model.factors))
 
@@ -231,7 +231,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         for t in texts:
             yield pa.array([m.score(x) for x in t.to_pylist()], pa.float64())
 
-    return spread(docs).withColumn("__tox_score", scored(F.col("text").cast("string")))
+    return spread(docs).withColumn(name, scored(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,7 +247,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not predict toxic, with their columns."""
-    return score_texts(docs, train(docs, labels)).where(F.col("__tox_score") < 0.5).drop("__tox_score")
+    name = fresh(docs, "__tox_score")
+    return score_texts(docs, train(docs, labels), name).where(F.col(name) < 0.5).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,7 +246,8 @@ def test_base_spans_equal_the_plain_patterns(seed):
 def test_weak_parts_count_only_together(spark):
     bare = "Zk3Qx9LmT7vR2pW8sB4n"
     alone, linked, apart = f"x {bare} y", f"host=db.example.org\nuser: admin\n{bare}", f"host=db.example.org\n\n{bare}"
-    rows = [(1, alone), (2, linked), (3, apart), (4, None), (5, "")]
+    rows = [(1, alone), (2, linked), (3, apart), (4, None), (5, ""), (2, linked)]
+    assert secrets.scan(clashing(spark, rows)).count() == 6
     got = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in secrets.scan(clashing(spark, rows)).collect()}
     assert got == {1: [], 2: ["endpoint", "key_id", "bare"], 3: [], 4: [], 5: []}
     d = {r["doc_id"]: r for r in secrets.digest(secrets.scan(spark.createDataFrame([(1, "é token=abcdef12")], DOCS))).collect()}[1]
